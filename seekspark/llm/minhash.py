@@ -2,11 +2,12 @@
 
 Documents with equal shingle sets form one class; only classes are compared. A class is posted under (coordinate, value) of its
 K-coordinate MinHash signature. A pair whose Jaccard similarity reaches the threshold matches in at least NEED coordinates but
-for a chance under 1e-6, so it shares one of the K - NEED + 1 rarest coordinate values of both: only that prefix is posted, and
-values that one class alone holds are never shuffled again. Merging skips: in each posting list first one hub is compared with
-the rest, over HUBS rounds with different hubs, and pairs already in one component are never formed. Lists that still join
-different components are split by further coordinates while longer than LIST (members need further matches too, so nothing is
-lost), then compared pair by pair. Collisions are counted on the signatures, and what passes is confirmed on full shingle sets.
+for a chance under 1e-6, so it shares one of the K - NEED + 1 rarest coordinate values of both: only that prefix is posted, and values that one class alone holds are never shuffled again. Merging skips: in each posting list the class of
+the smallest id, the hub, is compared with the rest, and pairs already in one component are never formed. A large group of near copies may
+still hold many components. Two of its texts a, b near one hub differ in exactly (a ^ hub) ^ (b ^ hub), so they can only be linked if they
+share a computable number of shingles that the hub lacks, unless that number is not positive; such pairs come from an inverted join over
+those rare shingles, which counts collisions. What is left of a list is compared pair by pair, each pair once. Collisions
+are counted on the signatures, and what passes is confirmed on full shingle sets.
 Links, components and signatures stay in DataFrames; nothing of the size of the corpus reaches the driver.
 
 Defined results: words are runs of other than [\\x20\\x09-\\x0D] after A-Z are lower-cased; fewer words than a shingle make one
@@ -28,7 +29,7 @@ from seekspark.llm import common
 from seekspark.llm.hashing import BASE, mix, shingle_sets
 
 WORDS, COORDINATES, NEED = 5, 32, 15
-HUBS, LIST, DEPTH = 3, 24, 3
+NEAR_HUB = 5  # matches with a hub from which a class is worth describing by its difference from it
 LAST = 2**63 - 1
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 
@@ -59,16 +60,18 @@ def _signed(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"did": b["did"].to_numpy(np.int64), **dict(zip(("n", "s1", "s2", "sig"), zip(*rows), strict=False))}) if rows else pd.DataFrame({"did": [], "n": [], "s1": [], "s2": [], "sig": []})
 
 
-def _confirmed(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
+def _compared(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Exact comparison of a (a hub, or any text) with b: linked or not, sizes, and what b has that a has not."""
     held: tuple = (None, None)
-    for b in batches:
-        keep = np.zeros(len(b), bool)
-        for i, (a, ta, s) in enumerate(zip(b["a"], b["ta"], shingle_sets(b["tb"].tolist(), n))):
+    for batch in batches:
+        rows = []
+        for a, b, ta, s in zip(batch["a"], batch["b"], batch["ta"], shingle_sets(batch["tb"].tolist(), n)):
             if held[0] != a:
                 held = (a, next(shingle_sets([ta], n)))
-            both = len(np.intersect1d(held[1], s, assume_unique=True))
-            keep[i] = 100 * both >= percent * (len(s) + len(held[1]) - both)
-        yield b.loc[keep, ["a", "b"]]
+            more = np.setdiff1d(s, held[1], assume_unique=True)
+            both = len(s) - len(more)
+            rows.append((a, b, 100 * both >= percent * (len(s) + len(held[1]) - both), len(s), len(more), len(held[1]) - both, more.view(np.int64)))
+        yield pd.DataFrame(rows, columns=["a", "b", "linked", "n", "more", "less", "extra"])
 
 
 def _own(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
@@ -96,15 +99,6 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
-def _split(lists: DataFrame, signatures: DataFrame, depth: int) -> DataFrame:
-    """Split posting lists by one more coordinate each: members of a pair must match in NEED coordinates, `depth` of
-    which are spent, so they share one of any COORDINATES - depth - (NEED - depth) + 1 others; the first such are posted."""
-    pool = COORDINATES - NEED + 1 + depth  # covers the spent ones too, which may be among the first
-    out = lists.join(signatures.select("node", F.slice("sig", 1, min(pool, COORDINATES)).alias("s")), "node").select("list", "node", "comp", "spent", F.posexplode("s").alias("k", "v"))
-    out = out.withColumn("bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))).where(F.col("spent").bitwiseAND(F.col("bit")) == 0)
-    return out.select(F.xxhash64("list", "k", "v").alias("list"), "node", "comp", F.col("spent").bitwiseOR(F.col("bit")).alias("spent"))
-
-
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
     """docs' (id, text hash) with n_shingles, component_id and kept; see near_duplicates."""
     spark = docs.sparkSession
@@ -122,49 +116,59 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     texts = src.withColumnRenamed("_text", "t")
     state = classes.select("node", "label", F.col("label").alias("comp"))
     links = spark.createDataFrame([], "a long, b long")
-    tested = links
 
-    def compared(pairs: DataFrame) -> None:
-        """Count collisions of new pairs, confirm them on full sets, and join components."""
-        nonlocal links, tested, state
-        pairs = common.saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    def compared(pairs: DataFrame, need: int, extra: bool) -> DataFrame:
+        """Count collisions of the pairs, compare what passes on full sets, and join components."""
+        nonlocal links, state
+        pairs = common.saved(pairs.distinct(), "pairs")
         sig = classes.select("node", "label", "sig")
         one = pairs.join(sig.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb")), "b")
         same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda m: m))
-        near = common.saved(one.where(same >= NEED).select("a", "b", "la", "lb"), "near")
+        near = common.saved(one.where(same >= need).select("a", "b", "la", "lb"), "near")
         wanted = near.select(F.col("la").alias("did"), F.col("a").alias("node")).unionByName(near.select(F.col("lb").alias("did"), F.col("b").alias("node"))).distinct()
-        shown = texts.join(wanted, "did")
-        shown = shown.mapInPandas(lambda it: _own(it, words), "did long, t string, node long").select("node", "t")
+        shown = texts.join(wanted, "did").mapInPandas(lambda it: _own(it, words), "did long, t string, node long").select("node", "t")
         shown = common.saved(shown.groupBy("node").agg(F.min("t").alias("t")), "near_texts")
         full = near.select("a", "b").join(shown.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(shown.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-        sure = common.saved(full.select("a", "b", "ta", "tb").mapInPandas(lambda it: _confirmed(it, words, percent), "a long, b long"), "sure")
-        links, tested = links.unionByName(sure), tested.unionByName(pairs)
+        done = full.select("a", "b", "ta", "tb").mapInPandas(lambda it: _compared(it, words, percent), "a long, b long, linked boolean, n long, more long, less long, extra array<long>")
+        done = common.saved(done if extra else done.drop("extra"), "compared")
+        sure = done.where("linked").select("a", "b")
         if not sure.isEmpty():
+            links = links.unionByName(sure)
             state = components(classes.select("node", "label"), links)
+        return done
 
-    def open_lists(rows_: DataFrame) -> DataFrame:
+    def open_lists(rows_: DataFrame, *key: str) -> DataFrame:
         """What may still hold a link between components: lists with more than one, without the others."""
-        mixed = rows_.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("list", "size")
-        return rows_.drop("size").join(mixed, "list")
-
-    for r in range(HUBS):
-        mine = lists.join(state.select("node", "label", "comp"), "node")
-        order = F.struct("label", "node", "comp") if r == 0 else F.struct(F.xxhash64(F.lit(r), "node"), F.col("node"), F.col("comp"))
-        hubs = mine.groupBy("list").agg(F.min(order).alias("h"), F.max("comp").alias("hi"), F.min("comp").alias("lo")).where("lo < hi").select("list", F.col("h.node").alias("a"), F.col("h.comp").alias("hc"))
-        compared(mine.join(hubs, "list").where("comp != hc").select("a", F.col("node").alias("b")))
-    spent = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("list", 32).cast("int"))
-    rest = lists.join(state.select("node", "comp"), "node").select("list", "node", "comp", spent.alias("spent"))
-    rest = common.saved(open_lists(rest), "open_lists")
-    found = None
-    for depth in range(1, DEPTH + 1):
-        few = rest if depth == DEPTH else rest.where(F.col("size") <= LIST)
-        other = few.select("list", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        pairs = few.select("list", F.col("node").alias("a"), F.col("comp").alias("ca")).join(other, "list").where("a < b AND ca != cb").select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        if depth == DEPTH or (many := rest.where(F.col("size") > LIST)).isEmpty():
-            break
-        rest = common.saved(open_lists(_split(many, classes, depth)), "split_lists")
-    compared(found)
+        mixed = rows_.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*key)
+        return rows_.join(mixed, [*key])
+
+    mine = lists.join(state.select("node", "label", "comp"), "node")
+    hubs = mine.groupBy("list").agg(F.min(F.struct("label", "node")).alias("h")).select("list", F.col("h.node").alias("a"))
+    first = compared(mine.join(hubs, "list").where("node != a").select("a", F.col("node").alias("b")), NEAR_HUB, True)
+    # each class belongs to the hub of the smallest id that it is near to; a hub near to no other, to itself
+    hub_label = classes.select(F.col("node").alias("a"), "label")
+    near_to = first.join(hub_label, "a").groupBy("b").agg(F.min_by(F.struct(F.col("a").alias("hub"), "n", "more", "less", "extra"), F.struct("label", "a")).alias("x")).select(F.col("b").alias("node"), "x.*")
+    own = first.select(F.col("a").alias("node"), (F.col("n") - F.col("more") + F.col("less")).alias("n")).distinct().join(near_to.select("node"), "node", "left_anti")
+    none = F.lit(0).cast("long")
+    near_to = common.saved(near_to.unionByName(own.select("node", F.col("node").alias("hub"), "n", none.alias("more"), none.alias("less"), F.array().cast("array<long>").alias("extra"))), "near_to")
+    rest = open_lists(lists.join(state.select("node", "comp"), "node").select("list", "node", "comp"), "list")
+    rest = common.saved(rest.join(near_to.drop("extra"), "node", "left"), "open_lists")
+    # how many shingles beyond their hub's two texts must share to be linked: |a ^ b| = |(a ^ hub) ^ (b ^ hub)|
+    share = (F.col("ma") + F.col("da") + F.col("mb") + F.col("db") - (100.0 - percent) / (100 + percent) * (F.col("na") + F.col("nb"))) / 2 - F.least("da", "db")
+    side = lambda df, x: df.select(*[F.col(c) for c in df.columns if c in ("list", "item", "in")], F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("hub").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("more").alias(f"m{x}"), F.col("less").alias(f"d{x}"))
+    # pairs near one hub that must share such shingles: an inverted join over those shingles, counting collisions
+    items = open_lists(state.select("node", "comp").join(near_to, "node"), "hub").withColumn("item", F.explode("extra")).drop("extra")
+    items = common.saved(open_lists(items, "hub", "item"), "open_items")
+    one, two = side(items, "a"), side(items, "b").withColumnRenamed("item", "item2")
+    pairs = one.join(two, (one["ha"] == two["hb"]) & (one["item"] == two["item2"]) & (one["a"] < two["b"]) & (one["ca"] != two["cb"]) & (share > 0))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(share).alias("share")).where("shared >= share").select("a", "b")
+    # all other pairs of a list, each in the first list that both are in
+    prefixes = rest.groupBy("node").agg(F.array_sort(F.collect_list("list")).alias("in"))
+    rest = common.saved(rest.join(prefixes, "node"), "open_prefixes")
+    one, two = side(rest, "a").withColumnRenamed("in", "ia"), side(rest, "b").withColumnsRenamed({"in": "ib", "list": "list2"})
+    apart = ~F.coalesce((F.col("ha") == F.col("hb")) & (share > 0), F.lit(False))
+    other = one.join(two, (one["list"] == two["list2"]) & (one["a"] < two["b"]) & (one["ca"] != two["cb"]) & apart & (F.array_min(F.array_intersect("ia", "ib")) == one["list"])).select("a", "b")
+    compared(pairs.unionByName(other), NEED, False)
     out = rows.join(state.select(F.col("node").alias("s1"), "comp"), "s1", "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
     return out.select("did", "s1", F.col("n").alias("n_shingles"), comp.alias("component_id"))
