@@ -131,12 +131,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def threshold(w: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> float:
     """The bias of least class-prior-corrected error, p miss + (flagged unlabelled - p found), mid-way between scores."""
-    zp, zu = (np.sort(sums(w, np.concatenate(x), np.cumsum([0, *map(len, x)]))) for x in (positive, unlabelled))
-    cuts = np.unique(np.concatenate([zp, zu]))
-    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts + 1
+    zp, zu = (np.sort(np.round(sums(w, np.concatenate(x), np.cumsum([0, *map(len, x)])), 6)) for x in (positive, unlabelled))
+    ends = np.unique(np.concatenate([zp, zu]))
+    if len(ends) < 2:
+        return -float(ends[0]) - 1
+    cuts, gaps = (ends[1:] + ends[:-1]) / 2, ends[1:] - ends[:-1]
     missed = np.searchsorted(zp, cuts) / len(zp)
     flagged = 1 - np.searchsorted(zu, cuts) / len(zu)
-    return -float(cuts[np.argmin(prior * missed + np.maximum(flagged - prior * (1 - missed), 0))])
+    risk = prior * missed + np.maximum(flagged - prior * (1 - missed), 0)
+    return -float(cuts[np.lexsort((-gaps, np.round(risk, 9)))[0]])  # of equal risks the widest gap
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None) -> ToxicityModel:
