@@ -117,13 +117,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     state = classes.select("node", "label", F.col("label").alias("comp"))
     links = spark.createDataFrame([], "a long, b long")
 
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda m: m))
+
     def compared(pairs: DataFrame, need: int, extra: bool) -> DataFrame:
         """Count collisions of the pairs, compare what passes on full sets, and join components."""
         nonlocal links, state
         pairs = common.saved(pairs.distinct(), "pairs")
         sig = classes.select("node", "label", "sig")
         one = pairs.join(sig.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb")), "b")
-        same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda m: m))
         near = common.saved(one.where(same >= need).select("a", "b", "la", "lb"), "near")
         wanted = near.select(F.col("la").alias("did"), F.col("a").alias("node")).unionByName(near.select(F.col("lb").alias("did"), F.col("b").alias("node"))).distinct()
         shown = texts.join(wanted, "did").mapInPandas(lambda it: _own(it, words), "did long, t string, node long").select("node", "t")
@@ -155,7 +156,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     rest = common.saved(rest.join(near_to.drop("extra"), "node", "left"), "open_lists")
     # how many shingles beyond their hub's two texts must share to be linked: |a ^ b| = |(a ^ hub) ^ (b ^ hub)|
     share = (F.col("ma") + F.col("da") + F.col("mb") + F.col("db") - (100.0 - percent) / (100 + percent) * (F.col("na") + F.col("nb"))) / 2 - F.least("da", "db")
-    side = lambda df, x: df.select(*[F.col(c) for c in df.columns if c in ("list", "item", "in")], F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("hub").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("more").alias(f"m{x}"), F.col("less").alias(f"d{x}"))
+    side = lambda df, x: df.select(*[F.col(c) for c in df.columns if c in ("list", "item", "in", "sig")], F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("hub").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("more").alias(f"m{x}"), F.col("less").alias(f"d{x}"))
     # pairs near one hub that must share such shingles: an inverted join over those shingles, counting collisions
     items = open_lists(state.select("node", "comp").join(near_to, "node"), "hub").withColumn("item", F.explode("extra")).drop("extra")
     items = common.saved(open_lists(items, "hub", "item"), "open_items")
@@ -164,10 +165,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(share).alias("share")).where("shared >= share").select("a", "b")
     # all other pairs of a list, each in the first list that both are in
     prefixes = rest.groupBy("node").agg(F.array_sort(F.collect_list("list")).alias("in"))
-    rest = common.saved(rest.join(prefixes, "node"), "open_prefixes")
-    one, two = side(rest, "a").withColumnRenamed("in", "ia"), side(rest, "b").withColumnsRenamed({"in": "ib", "list": "list2"})
+    rest = common.saved(rest.join(prefixes, "node").join(classes.select("node", "sig"), "node"), "open_prefixes")
+    one, two = side(rest, "a").withColumnsRenamed({"in": "ia", "sig": "sa"}), side(rest, "b").withColumnsRenamed({"in": "ib", "list": "list2", "sig": "sb"})
     apart = ~F.coalesce((F.col("ha") == F.col("hb")) & (share > 0), F.lit(False))
-    other = one.join(two, (one["list"] == two["list2"]) & (one["a"] < two["b"]) & (one["ca"] != two["cb"]) & apart & (F.array_min(F.array_intersect("ia", "ib")) == one["list"])).select("a", "b")
+    other = one.join(two, (one["list"] == two["list2"]) & (one["a"] < two["b"]) & (one["ca"] != two["cb"]) & apart & (same >= NEED) & (F.array_min(F.array_intersect("ia", "ib")) == one["list"])).select("a", "b")
     compared(pairs.unionByName(other), NEED, False)
     out = rows.join(state.select(F.col("node").alias("s1"), "comp"), "s1", "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
