@@ -48,7 +48,7 @@ def learn(x: np.ndarray, k: int = K, seed: int = 3) -> Codes:
     rng, dim = np.random.default_rng(seed), x.shape[1]
     mean = x.mean(0)
     z, parts = x - mean, []
-    _, _, basis = np.linalg.svd(z[: 4 * SAMPLE], full_matrices=True)
+    basis = np.linalg.eigh(z.T @ z)[1].T[::-1]  # principal directions, from a dim x dim matrix
     for _ in range(ROTATIONS):
         r = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         p = z @ basis.T
