@@ -60,6 +60,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+#: A key filter is a bit map of this many 64-bit words, so that what is broadcast has at most so many rows, whatever the data.
+FILTER_WORDS = 1 << 17
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """df without most of the rows whose key is not in wanted[key] (rows whose key is there all stay), before a join shuffles them.
+
+    The keys of wanted become a hashed bit map, one row a word; the more keys, the fuller the map and the less it takes away.
+    """
+    h = F.xxhash64(F.lit(5), F.col(key))
+    word, bit = F.pmod(h, F.lit(FILTER_WORDS)).cast("int"), F.pmod(F.shiftright(h, 17), F.lit(64)).cast("int")
+    bits = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = df.withColumns({"_word": word, "_at": bit}).join(F.broadcast(bits), "_word")
+    return held.where(F.call_function("shiftright", F.col("_bits"), F.col("_at")).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (null ids: 0)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))

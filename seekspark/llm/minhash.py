@@ -127,7 +127,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
         one = pairs.join(sig.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb")), "b")
         near = common.saved(one.where(same >= need).select("a", "b", "la", "lb"), "near")
         wanted = near.select(F.col("la").alias("did"), F.col("a").alias("node")).unionByName(near.select(F.col("lb").alias("did"), F.col("b").alias("node"))).distinct()
-        shown = texts.join(wanted, "did").mapInPandas(lambda it: _own(it, words), "did long, t string, node long").select("node", "t")
+        wanted = common.saved(wanted, "wanted")
+        shown = common.maybe_in(texts, "did", wanted).join(wanted, "did").mapInPandas(lambda it: _own(it, words), "did long, t string, node long").select("node", "t")
         shown = common.saved(shown.groupBy("node").agg(F.min("t").alias("t")), "near_texts")
         full = near.select("a", "b").join(shown.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(shown.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
         done = full.select("a", "b", "ta", "tb").mapInPandas(lambda it: _compared(it, words, percent), "a long, b long, linked boolean, n long, more long, less long, extra array<long>")

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from seekspark.llm import ann, html_text, kd_sharding, langid, line_dedup, minhash, mpeg_audio, packing, toxicity
+from seekspark.llm import ann, common, html_text, kd_sharding, langid, line_dedup, minhash, mpeg_audio, packing, toxicity
 from seekspark.llm.hashing import shingle_sets
 from seekspark.llm.sentencepiece_viterbi import Pieces, decoded, encoded
 
@@ -81,6 +81,14 @@ def test_minhash_near_copy_group(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, list(range(len(texts))))
 
 
+def test_key_filter_keeps_every_wanted_row(spark):
+    ids = spark.range(5000).withColumn("text", F.lit("t"))
+    wanted = spark.range(0, 5000, 7)
+    kept = common.maybe_in(ids, "id", wanted)
+    assert kept.columns == ids.columns and kept.join(wanted, "id").count() == wanted.count() and kept.count() < 800
+    assert common.maybe_in(ids, "id", wanted.limit(0)).count() == 0
+
+
 def test_minhash_odd(odd):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()}
     assert {(3, 0, 3, True), (4, 0, 4, True), (6, 2997, 5, False), (5, 2996, 5, True), (7, 1, 7, True)} <= got
