@@ -35,9 +35,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
+    """One document of each group of near duplicates (0.8 of five-word shingles), that of the smallest id."""
     common.tune(spark)
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
+    gone = minhash.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -1,8 +1,8 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 Documents with equal shingle sets form one class; only classes are compared. A class is posted under (coordinate, value) of its
-K-coordinate MinHash signature. A pair whose Jaccard similarity reaches the threshold matches in at least NEED coordinates but
-for a chance under 1e-6, so it shares one of the K - NEED + 1 rarest coordinate values of both: only that prefix is posted, and values that one class alone holds are never shuffled again. Merging skips: in each posting list the class of
+K-coordinate MinHash signature. A pair whose Jaccard similarity reaches the threshold matches in at least needed(percent) coordinates
+but for a chance of at most MISS, so it shares one of the K - needed + 1 rarest coordinate values of both: only that prefix is posted, and values that one class alone holds are never shuffled again. Merging skips: in each posting list the class of
 the smallest id, the hub, is compared with the rest, and pairs already in one component are never formed. A large group of near copies may
 still hold many components. Two of its texts a, b near one hub differ in exactly (a ^ hub) ^ (b ^ hub), so they can only be linked if they
 share a computable number of shingles that the hub lacks, unless that number is not positive; such pairs come from an inverted join over
@@ -19,6 +19,7 @@ a component is named by its smallest doc_id. Node keys are 64-bit hashes of shin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -28,12 +29,27 @@ from pyspark.sql import functions as F
 from seekspark.llm import common
 from seekspark.llm.hashing import BASE, mix, shingle_sets
 
-WORDS, COORDINATES, NEED = 5, 32, 15
+WORDS, COORDINATES = 5, 32
+MISS = 1e-7  # the greatest chance that a pair just at the threshold is not compared
 NEAR_HUB = 5  # matches with a hub from which a class is worth describing by its difference from it
 LAST = 2**63 - 1
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 
 
+def missed(percent: int, need: int) -> float:
+    """The chance that a pair of that similarity matches in fewer than `need` coordinates."""
+    p = percent / 100
+    return sum(comb(COORDINATES, i) * p**i * (1 - p) ** (COORDINATES - i) for i in range(need))
+
+
+def needed(percent: int) -> int:
+    """The most matching coordinates that can be asked of pairs at the threshold within MISS."""
+    need = max((n for n in range(1, COORDINATES + 1) if missed(percent, n) <= MISS), default=0)
+    if not need:
+        raise ValueError(f"{COORDINATES} coordinates miss pairs of {percent} percent with a chance over {MISS}")
+    return need
+
+
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
     """Two 64-bit hashes of a sorted set."""
     n = np.array([len(hashes)], np.uint64)
@@ -101,7 +117,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
     """docs' (id, text hash) with n_shingles, component_id and kept; see near_duplicates."""
-    spark = docs.sparkSession
+    spark, need = docs.sparkSession, needed(percent)
     src = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("did"), F.col(text).alias("_text"))
     rows = common.saved(src.mapInPandas(lambda it: _signed(it, words), "did long, n long, s1 long, s2 long, sig array<int>"), "signatures")
     full = rows.where("n > 0")
@@ -111,7 +127,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     posted = classes.select("node", F.posexplode("sig").alias("k", "v")).withColumn("list", F.col("k") * F.lit(1 << 32) + F.col("v").cast("long").bitwiseAND(F.lit(2**32 - 1))).select("node", "list")
     often = posted.groupBy("list").agg(F.count("*").alias("df")).where("df > 1")
     rare = posted.join(often, "list").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "list"))).alias("p"))
-    room = F.greatest(F.lit(0), F.size("p") - (NEED - 1))  # K - NEED + 1 less the K - size(p) values that it alone holds
+    room = F.greatest(F.lit(0), F.size("p") - (need - 1))  # K - need + 1 less the K - size(p) values that it alone holds
     lists = common.saved(rare.select("node", F.explode(F.slice("p", 1, room)).alias("x")).select("node", F.col("x.list").alias("list")), "postings")
     texts = src.withColumnRenamed("_text", "t")
     state = classes.select("node", "label", F.col("label").alias("comp"))
@@ -119,13 +135,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
 
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda m: m))
 
-    def compared(pairs: DataFrame, need: int, extra: bool) -> DataFrame:
+    def compared(pairs: DataFrame, least: int, extra: bool) -> DataFrame:
         """Count collisions of the pairs, compare what passes on full sets, and join components."""
         nonlocal links, state
         pairs = common.saved(pairs.distinct(), "pairs")
         sig = classes.select("node", "label", "sig")
         one = pairs.join(sig.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb")), "b")
-        near = common.saved(one.where(same >= need).select("a", "b", "la", "lb"), "near")
+        near = common.saved(one.where(same >= least).select("a", "b", "la", "lb"), "near")
         wanted = near.select(F.col("la").alias("did"), F.col("a").alias("node")).unionByName(near.select(F.col("lb").alias("did"), F.col("b").alias("node"))).distinct()
         wanted = common.saved(wanted, "wanted")
         shown = common.maybe_in(texts, "did", wanted).join(wanted, "did").mapInPandas(lambda it: _own(it, words), "did long, t string, node long").select("node", "t")
@@ -146,7 +162,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
 
     mine = lists.join(state.select("node", "label", "comp"), "node")
     hubs = mine.groupBy("list").agg(F.min(F.struct("label", "node")).alias("h")).select("list", F.col("h.node").alias("a"))
-    first = compared(mine.join(hubs, "list").where("node != a").select("a", F.col("node").alias("b")), NEAR_HUB, True)
+    first = compared(mine.join(hubs, "list").where("node != a").select("a", F.col("node").alias("b")), min(NEAR_HUB, need), True)
     # each class belongs to the hub of the smallest id that it is near to; a hub near to no other, to itself
     hub_label = classes.select(F.col("node").alias("a"), "label")
     near_to = first.join(hub_label, "a").groupBy("b").agg(F.min_by(F.struct(F.col("a").alias("hub"), "n", "more", "less", "extra"), F.struct("label", "a")).alias("x")).select(F.col("b").alias("node"), "x.*")
@@ -155,8 +171,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     near_to = common.saved(near_to.unionByName(own.select("node", F.col("node").alias("hub"), "n", none.alias("more"), none.alias("less"), F.array().cast("array<long>").alias("extra"))), "near_to")
     rest = open_lists(lists.join(state.select("node", "comp"), "node").select("list", "node", "comp"), "list")
     rest = common.saved(rest.join(near_to.drop("extra"), "node", "left"), "open_lists")
-    # how many shingles beyond their hub's two texts must share to be linked: |a ^ b| = |(a ^ hub) ^ (b ^ hub)|
-    share = (F.col("ma") + F.col("da") + F.col("mb") + F.col("db") - (100.0 - percent) / (100 + percent) * (F.col("na") + F.col("nb"))) / 2 - F.least("da", "db")
+    # how many shingles beyond their hub's two texts must share to be linked: |a ^ b| = |(a ^ hub) ^ (b ^ hub)|, less a bit for rounding
+    share = (F.col("ma") + F.col("da") + F.col("mb") + F.col("db") - (100.0 - percent) / (100 + percent) * (F.col("na") + F.col("nb"))) / 2 - F.least("da", "db") - 1e-6
     side = lambda df, x: df.select(*[F.col(c) for c in df.columns if c in ("list", "item", "in", "sig")], F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("hub").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("more").alias(f"m{x}"), F.col("less").alias(f"d{x}"))
     # pairs near one hub that must share such shingles: an inverted join over those shingles, counting collisions
     items = open_lists(state.select("node", "comp").join(near_to, "node"), "hub").withColumn("item", F.explode("extra")).drop("extra")
@@ -169,8 +185,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     rest = common.saved(rest.join(prefixes, "node").join(classes.select("node", "sig"), "node"), "open_prefixes")
     one, two = side(rest, "a").withColumnsRenamed({"in": "ia", "sig": "sa"}), side(rest, "b").withColumnsRenamed({"in": "ib", "list": "list2", "sig": "sb"})
     apart = ~F.coalesce((F.col("ha") == F.col("hb")) & (share > 0), F.lit(False))
-    other = one.join(two, (one["list"] == two["list2"]) & (one["a"] < two["b"]) & (one["ca"] != two["cb"]) & apart & (same >= NEED) & (F.array_min(F.array_intersect("ia", "ib")) == one["list"])).select("a", "b")
-    compared(pairs.unionByName(other), NEED, False)
+    other = one.join(two, (one["list"] == two["list2"]) & (one["a"] < two["b"]) & (one["ca"] != two["cb"]) & apart & (same >= need) & (F.array_min(F.array_intersect("ia", "ib")) == one["list"])).select("a", "b")
+    compared(pairs.unionByName(other), need, False)
     out = rows.join(state.select(F.col("node").alias("s1"), "comp"), "s1", "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
     return out.select("did", "s1", F.col("n").alias("n_shingles"), comp.alias("component_id"))
@@ -184,4 +200,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(common.table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)

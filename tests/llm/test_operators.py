@@ -81,6 +81,26 @@ def test_minhash_near_copy_group(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, list(range(len(texts))))
 
 
+def test_minhash_stage_links_pairs_from_80_percent(spark):
+    """Texts of 90 shingles each with 80 or 82 in common (Jaccard 0.8 and 0.837), and 79 in common (0.782)."""
+    import corpus_pipeline
+
+    base = [f"s{i}" for i in range(94)]
+    shifted = lambda k, x: base[k:] + [f"{x}{i}" for i in range(k)]
+    texts = [" ".join(t) for t in (base, shifted(10, "e"), [f"u{w}" for w in base], [f"u{w}" for w in shifted(8, "f")], [f"v{w}" for w in base], [f"v{w}" for w in shifted(11, "g")])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, df, SF).collect()) == [0, 2, 4, 5]
+    assert minhash.near_duplicates(df, percent=85).where("kept").count() == 6
+
+
+def test_minhash_need_keeps_the_miss_chance():
+    assert minhash.needed(85) == 15 and minhash.needed(80) < 15
+    for percent in range(40, 101):
+        assert minhash.missed(percent, minhash.needed(percent)) <= minhash.MISS
+    with pytest.raises(ValueError):
+        minhash.needed(20)
+
+
 def test_key_filter_keeps_every_wanted_row(spark):
     ids = spark.range(5000).withColumn("text", F.lit("t"))
     wanted = spark.range(0, 5000, 7)
