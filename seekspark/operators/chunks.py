@@ -23,18 +23,20 @@ def whole_files(docs: DataFrame, path: str = "path", text: str = "text", limit:
 
 
 def windows(docs: DataFrame, path: str = "path", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Byte windows that end after their last line break; windows that cut a character or are blank give no row."""
+    """Byte windows cut after their last line break; those that then still cut a character or are blank give no row."""
     step = max(size - overlap, 1)
     rows = docs.where(F.octet_length(text) > 0).select(path, F.encode(text, "UTF-8").alias("raw"), F.octet_length(text).alias("n"))
     rows = rows.select(path, "raw", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))).alias("off"))
     part = F.substr("raw", F.col("off") + 1, F.lit(size))
-    rows = rows.withColumn("part", F.when(F.is_valid_utf8(part.cast("string")), part.cast("string")))
-    cut = F.regexp_extract("part", r"(?s)^(.*\n)", 1)
-    content = F.when((F.col("off") + size >= F.col("n")) | (cut == ""), F.col("part")).otherwise(cut)
+    # bytes up to the last line break; substring_index works on bytes, so a character cut at the raw end does no harm
+    cut = F.octet_length(part) - F.octet_length(F.substring_index(part.cast("string"), "\n", -1))
+    keep = F.when((F.col("off") + size >= F.col("n")) | (cut == 0), F.lit(size)).otherwise(cut)
+    rows = rows.withColumn("part", F.substr("raw", F.col("off") + 1, keep).cast("string"))
+    content = F.when(F.is_valid_utf8("part"), F.col("part"))
     head = F.substr("raw", F.lit(1), F.col("off")).cast("string")
     lines = (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))) + 1
     out = rows.select(path, "off", content.alias("content"), lines.cast("int").alias("start_line"))
-    return out.where(F.col("content").isNotNull() & (F.trim(F.regexp_replace("content", r"\s", " ")) != "")).withColumn("kind", F.lit("window"))
+    return out.where(F.col("content").isNotNull() & (F.trim(F.regexp_replace("content", r"(?U)\s", " ")) != "")).withColumn("kind", F.lit("window"))
 
 
 def rdf_blocks(lines: DataFrame, key: str, pos: str, line: str) -> DataFrame:

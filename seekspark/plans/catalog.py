@@ -117,6 +117,11 @@ def window_chunks(spark, d):
     return C.windows(docs).select("path", "off", F.sha2("content", 256).alias("digest"), "start_line")
 
 
+@query()  # SQL here counts characters, so a brute-force test takes its place
+def window_chunks_all(spark, d):
+    return C.windows(docs_with_path(spark, d)).select("path", "off", F.sha2("content", 256).alias("digest"), "start_line")
+
+
 @query("SELECT lang AS family, CASE WHEN strlen(text) <= 4096 THEN 'file' ELSE 'window' END AS kind, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
 def chunk_kind_mix(spark, d):
     return S.corpus_mix(t(spark, d, "documents").select(F.col("lang").alias("family"), F.when(F.octet_length("text") <= 4096, "file").otherwise("window").alias("kind")), ["family", "kind"])
@@ -410,10 +415,18 @@ def workspace_symbols(spark, d):
 
 @query(f"SELECT {_PATH} AS path, greatest(doc_id % 7 - 1, 0)::BIGINT AS start, CASE WHEN strlen(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview FROM documents WHERE strlen(text) = length(text)")
 def lsp_items(spark, d):
-    docs = docs_with_path(spark, d).where(F.octet_length("text") == F.length("text"))
+    return _lsp_items(docs_with_path(spark, d).where(F.octet_length("text") == F.length("text")))
+
+
+def _lsp_items(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.greatest(F.col("doc_id") % 7 - 1, F.lit(0)).alias("start"), T.preview(F.col("text")).alias("preview"))
 
 
+@query()  # as window_chunks_all
+def lsp_items_all(spark, d):
+    return _lsp_items(docs_with_path(spark, d))
+
+
 # --- incremental: an old and a new snapshot of documents, by remainder of doc_id ---
 
 _OLD = "o AS (SELECT doc_id, doc_id AS mtime, strlen(text) AS size, sha256(text) AS hash FROM documents WHERE doc_id % 10 <> 0)"

@@ -1,5 +1,6 @@
 """Every registered query of the main operators against its SQL, and fixtures with known results."""
 
+import hashlib
 import os
 
 import pytest
@@ -73,3 +74,42 @@ def test_scan(spark, tmp_path):
     rows = {r.path for r in files.scan(spark, str(tmp_path), ignore=["*.log"]).collect()}
     assert rows == {"src/a.py", "src/b.rs"}
     assert [r.path for r in files.scan(spark, str(tmp_path), "python").collect()] == ["src/a.py"]
+
+
+def brute_windows(text: str, size: int, overlap: int) -> list:
+    raw, out = text.encode(), []
+    for off in range(0, len(raw), max(size - overlap, 1)):
+        end = min(off + size, len(raw))
+        if end < len(raw):
+            end = off + raw[off:end].rfind(b"\n") + 1 if b"\n" in raw[off:end] else end
+        try:
+            part = raw[off:end].decode()
+        except UnicodeDecodeError:
+            continue
+        if part.strip():
+            out.append((off, part, raw[:off].count(b"\n") + 1))
+    return out
+
+
+def test_windows_of_non_ascii_texts(spark):
+    texts = ["ab\n" + "é" * 9 + "\nx\n" + "日本\n" * 7, "é" * 40, "aé\n" * 11 + "\u3000" * 9, "plain\nascii\n" * 5, "", "\n\n", "😀\n" * 9 + "z"]
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "path string, text string")
+    for size, overlap in ((16, 4), (17, 5), (7, 2), (30, 1)):
+        got = sorted((r.path, r.off, r.content, r.start_line) for r in C.windows(df, size=size, overlap=overlap).collect())
+        assert got == [(str(i), *w) for i, x in enumerate(texts) for w in brute_windows(x, size, overlap)]
+
+
+def test_queries_over_all_documents(spark):
+    rows = catalog.docs_with_path(spark, DATA).collect()
+    want = sorted((r.path, off, hashlib.sha256(part.encode()).hexdigest(), line) for r in rows for off, part, line in brute_windows(r.text or "", C.SIZE, C.OVERLAP))
+    assert sorted(map(tuple, catalog.QUERIES["window_chunks_all"](spark, DATA).collect())) == want
+
+    def preview(text):
+        raw = text.encode()
+        end = min(200, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        return raw[:end].decode() + ("..." if len(raw) > 200 else "")
+
+    want = sorted((r.path, max(r.doc_id % 7 - 1, 0), preview(r.text)) for r in rows)
+    assert sorted(map(tuple, catalog.QUERIES["lsp_items_all"](spark, DATA).collect())) == want
