@@ -4,7 +4,7 @@ Token counts come from the byte-level BPE file named by a parameter. A document'
 at most `capacity` ids. Only the histogram of piece lengths (at most `capacity` numbers) reaches the driver. There the
 configuration LP (fewest sequences covering the histogram) is solved by multiplicative weights: the weights price the
 lengths, one knapsack dynamic program finds the dearest configuration for each longest piece, and weights of what is covered fall. The
-fractional solution is rounded down and the rest is placed best-fit. The plan is a list of (length, first rank, copies,
+fractional solution is rounded down and the rest is placed best-fit into the planned sequences' free room, then into new ones. The plan is a list of (length, first rank, copies,
 first sequence, offset) of a size bounded by the capacity, not by the data; each piece finds its slot by its rank among
 pieces of its length, which is counted without moving texts.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 
 from seekspark.llm import common
 
-CAPACITY, END_ID, ROUNDS, ETA, MAX_BEST_FIT = 2048, 0, 32, 4.0, 400_000
+CAPACITY, END_ID, ROUNDS, ETA = 2048, 0, 32, 4.0
 _encoders: dict = {}
 
 
@@ -89,19 +90,21 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
 def priced(prices: np.ndarray, sizes: np.ndarray, limits: np.ndarray, rooms: np.ndarray, capacity: int) -> np.ndarray:
     """For each room the dearest multiset of sizes that fits it: counts (rooms x sizes), by one knapsack dynamic program.
 
-    A size is taken at most limits[i] and at most 3 times (as one and two), which keeps the program at two passes a size.
+    A size is taken at most min(limits[i], capacity // size) times, split into 1, 2, 4, ... and a rest, which takes a logarithm of that in passes.
     """
     value, took = np.zeros(capacity + 1), []
     for i, n in enumerate(sizes):
-        for k in (1, 2):
+        most, k = min(int(limits[i]), capacity // int(n)), 1
+        while most > 0:
+            k = min(k, most)
+            most -= k
             w = int(n) * k
-            if w > capacity or k > limits[i]:
-                break
             trial = value[: capacity + 1 - w] + prices[i] * k
             better = np.zeros(capacity + 1, bool)
             better[w:] = trial > value[w:] + 1e-12
             value[w:] = np.maximum(value[w:], trial)
             took.append((i, k, w, better))
+            k *= 2
     left, chosen = rooms.copy(), np.zeros((len(rooms), len(sizes)), np.int16)
     for i, k, w, better in reversed(took):
         hit = better[left]
@@ -110,20 +113,41 @@ def priced(prices: np.ndarray, sizes: np.ndarray, limits: np.ndarray, rooms: np.
     return chosen
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Best-fit decreasing over a histogram (index: length): the contents of each sequence."""
-    open_, bins = [[] for _ in range(capacity + 1)], []
-    for n in range(capacity, 0, -1):
-        for _ in range(int(counts[n])):
-            room = next((r for r in range(n, capacity) if open_[r]), None)
-            if room is None:
-                bins.append({})
-                at, room = len(bins) - 1, capacity
+def best_fit(counts: np.ndarray, capacity: int, plan: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing over a histogram (index: length): configurations and how often each is used.
+
+    The free room of the sequences of `plan` is filled before new ones are opened. Sequences of equal content are filled
+    together, so the work depends on the number of configurations and lengths and not on the number of pieces.
+    """
+    groups: dict[int, list] = {}
+    rooms: list[int] = []
+
+    def add(room: int, config: dict[int, int], times: int) -> None:
+        if times > 0:
+            if room not in groups:
+                insort(rooms, room)
+            groups.setdefault(room, []).append((config, times))
+
+    for config, times in plan:
+        add(capacity - sum(n * k for n, k in config.items()), config, times)
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[n])
+        while left:
+            at = bisect_left(rooms, n)
+            if at < len(rooms):
+                room = rooms[at]
+                config, times = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[at]
             else:
-                at = open_[room].pop()
-            bins[at][n] = bins[at].get(n, 0) + 1
-            open_[room - n].append(at)
-    return bins
+                room, config, times = capacity, {}, left
+            k = min(room // n, left)
+            m = min(times, left // k)
+            add(room - n * k, config | {n: config.get(n, 0) + k}, m)
+            if config:
+                add(room, config, times - m)
+            left -= m * k
+    return [g for room in rooms for g in groups[room]]
 
 
 def solved(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
@@ -132,8 +156,8 @@ def solved(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -
     Each sequence holds at most one piece longer than half of it, so configurations are seeded by such a length (or by
     none). A round prices the shorter lengths by their size times a weight, one dynamic program gives every seed its
     dearest filling, and each seed takes 1/rounds of its demand in that configuration. Weights fall exponentially with
-    what is covered beyond schedule. The fractional uses are rounded down; what is left, of a size bounded by rounds
-    and capacity alone, is placed best-fit.
+    what is covered beyond schedule. The fractional uses are rounded down; what is left is placed best-fit, into the free
+    room of the planned sequences first. Where best-fit alone takes fewer sequences, its plan is returned.
     """
     left = counts.astype(np.int64).copy()
     plan: list[tuple[dict[int, int], int]] = []
@@ -161,16 +185,9 @@ def solved(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -
                 plan.append((config, whole))
                 for n, k in config.items():
                     left[n] -= whole * k
-    while left.sum() > MAX_BEST_FIT:  # rounding left more than a bounded number of pieces: the pattern of a thinned histogram, repeated
-        times = int(-(-left.sum() // (MAX_BEST_FIT // 2)))
-        thin = best_fit(left // times, capacity)
-        plan += [(b, times) for b in thin]
-        for b in thin:
-            for n, k in b.items():
-                left[n] -= times * k
-        if not thin:
-            break
-    return plan + [(b, 1) for b in best_fit(left, capacity)]
+    plain = best_fit(counts, capacity)
+    plan = best_fit(left, capacity, plan)
+    return min(plan, plain, key=lambda p: sum(times for _, times in p))
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> pd.DataFrame:

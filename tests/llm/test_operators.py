@@ -146,6 +146,25 @@ def test_packing_plan():
     assert (got == counts).all() and sum(t for _, t in plan) <= 1.01 * (counts * np.arange(2049)).sum() / 2048
 
 
+@pytest.mark.parametrize("lengths, most", [({100: 20_000}, 1000), ({1100: 5000, 50: 60_000}, 5000), ({n: 2000 for n in range(5, 36)}, 606), ({1: 5000}, 3), ({1025: 7, 1023: 9}, 8), ({1100: 500, 900: 1, 40: 11_000}, 501)])
+def test_packing_plan_of_few_lengths(lengths, most):
+    counts = np.bincount([*lengths], weights=[*lengths.values()], minlength=2049).astype(np.int64)
+    got = np.zeros(2049, int)
+    plan = packing.solved(counts)
+    for config, times in plan:
+        assert times > 0 and sum(n * k for n, k in config.items()) <= 2048
+        for n, k in config.items():
+            got[n] += k * times
+    assert (got == counts).all() and sum(t for _, t in plan) <= most
+
+
+def test_packing_fills_planned_sequences_first():
+    counts = np.zeros(2049, int)
+    counts[[40, 900]] = [30, 1]
+    plan = packing.best_fit(counts, 2048, [({1100: 1}, 5)])
+    assert sum(t for _, t in plan) == 5 and sum(t * c.get(40, 0) for c, t in plan) == 30
+
+
 def test_sharding(spark, docs, odd):
     rows = kd_sharding.shard(docs).toPandas()
     sizes = rows.groupby("shard")["size"].sum()
