@@ -3,7 +3,9 @@
 A page is read as a sequence of text runs and tags. A word scores by where it stands (its block, and whether in a link), a tag scores
 below zero; both weights are log-odds from labelled pages, namely pages whose authors marked the content with one <article>, <main> or
 role=main. One linear scan finds the contiguous region of the largest sum. Inside it, words of boilerplate elements (navigation,
-notices, adverts, forms, comments ...) score below zero and are left out; the rest is the text.
+notices, adverts, forms, comments ...) are left out; the rest is the text. Left-out words score below zero, but those of an element
+opened inside the content (an insert: aside, advert, newsletter form) score nothing, nor do its tags, so that a region goes on behind it.
+The text of noscript, scripts, styles, templates, frames, drawings, text areas and media fallbacks is no content.
 
 Fitting takes at most SAMPLE labelled pages; extraction reads whole pages. Character references are decoded, white space within a
 block becomes one space, blocks are joined by one space in page order; inline tags separate nothing.
@@ -30,7 +32,7 @@ SAMPLE = 400
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video")
+RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "canvas", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements that never hold content, and those that hold none outside the article.
@@ -42,6 +44,8 @@ OUTER_MARKS = frozenset("header masthead topbar".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 WORD, LINK, BAD, TAG_DEFAULT, BLOCK_DEFAULT = 1.0, 0.2, -2.0, -0.05, -0.3
 
+PLAIN, INSERT = 1, 2
+
 
 def marked(attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element's attributes make it boilerplate, and whether they make it the content."""
@@ -58,8 +62,11 @@ def marked(attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 def events(page: str) -> Iterator[tuple]:
-    """(kind, value, bad, inside, context): `text` with its block and whether it is linked, or `tag` with its name."""
-    at, low, stack, bad, inside = 0, None, [], 0, 0
+    """(kind, value, bad, inside, context): `text` with its block and whether it is linked, or `tag` with its name.
+
+    bad: 0, PLAIN in boilerplate, or INSERT in boilerplate whose outermost element was opened inside the content.
+    """
+    at, low, stack, bad, inside, which = 0, None, [], 0, 0, PLAIN
     block, links = "body", 0
     counts: dict[str, int] = defaultdict(int)
 
@@ -75,14 +82,14 @@ def events(page: str) -> Iterator[tuple]:
         m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
-            yield "text", page[at:end], bad > 0, inside > 0, (block, links > 0)
+            yield "text", page[at:end], which if bad else 0, inside > 0, (block, links > 0)
         if not m:
             return
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
-        yield "tag", name, bad > 0, inside > 0, ("/" if m[1] else "", False)
+        yield "tag", name, which if bad else 0, inside > 0, ("/" if m[1] else "", False)
         if m[1]:
             if counts[name]:
                 while stack[-1][0] != name:
@@ -104,6 +111,8 @@ def events(page: str) -> Iterator[tuple]:
         worse, main = marked(m[3], inside > 0) if m[3] else (False, False)
         worse |= name in OUTSIDE or name in OUTER and not inside
         main |= name in ("article", "main")
+        if worse and not bad:
+            which = INSERT if inside else PLAIN
         stack.append((name, worse, main))
         counts[name] += 1
         bad += worse
@@ -119,8 +128,8 @@ class Weights:
     def __init__(self, words: dict | None = None, tags: dict | None = None):
         self.words, self.tags = words or {}, tags or {}
 
-    def word(self, context: tuple[str, bool], bad: bool) -> float:
-        return BAD if bad else self.words.get(context, LINK if context[1] else WORD)
+    def word(self, context: tuple[str, bool], bad: int) -> float:
+        return 0.0 if bad == INSERT else BAD if bad else self.words.get(context, LINK if context[1] else WORD)
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, BLOCK_DEFAULT if name in BLOCKS else TAG_DEFAULT)
@@ -150,7 +159,7 @@ def extract(page: str | None, weights: Weights) -> str:
     best, best_at, run, begin = 0.0, (0, 0), 0.0, 0
     for i, (kind, value, bad, _, context) in enumerate(items):
         if kind == "tag":
-            score = weights.tag(value)
+            score = 0.0 if bad == INSERT else weights.tag(value)
         else:
             n = len(value.split())
             score = n * weights.word(context, bad) if n else 0.0

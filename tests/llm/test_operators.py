@@ -220,6 +220,15 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) > 0 for r in rows)
 
 
+@pytest.mark.parametrize("insert", ["<aside>{}</aside>", "<div class=ad><p>{}</p></div>", "<form class=newsletter><ul><li>{}</ul></form>", "<ul class=related>" + "<li><a href=x>more</a>" * 200 + "<li>{}</ul>"])
+def test_html_goes_on_behind_an_insert(insert):
+    run = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    last = "Energy is <math><mi>m</mi>\n<mi>c</mi></math>, <object data=x>as drawn</object>."
+    page = f"<body><nav><a href=x>menu</a></nav><article><p>{run('a', 200)}</p>{insert.format(run('i', 400))}<p>{run('z', 30)}</p><p>{last}</p></article><div class=comments><article>{run('c', 50)}</article></div><footer>{run('f', 20)}</footer>"
+    for weights in (html_text.Weights(), html_text.learn([page] * 30)):
+        assert html_text.extract(page, weights) == f"{run('a', 200)} {run('z', 30)} Energy is m c, as drawn."
+
+
 def test_language_id(spark, docs, odd):
     model = langid.train(docs, F.col("doc_id") % 3 != 1)
     held = langid.identify(docs.where("doc_id % 3 = 1"), model)
