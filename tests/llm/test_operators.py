@@ -237,6 +237,13 @@ def test_language_id(spark, docs, odd):
     assert got[3] == got[4] == got[7] == ("und", True)
 
 
+def test_language_id_rejects_unlearned_languages(docs):
+    model = langid.train(docs, F.col("doc_id") % 3 != 1)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    assert (model.predict([finnish, polish])[1] < model.threshold).all()
+
+
 def test_toxicity_learns():
     rng = np.random.default_rng(2)
     plain = lambda: " ".join(f"w{i}" for i in rng.integers(0, 400, 80))
