@@ -244,6 +244,19 @@ def test_language_id_rejects_unlearned_languages(docs):
     assert (model.predict([finnish, polish])[1] < model.threshold).all()
 
 
+def test_language_id_learns_from_whole_texts(spark):
+    """Texts that all begin with one long header and differ only behind it."""
+    head = "the same header in one language for all of the documents here. " * 60
+    words = {"aa": "kala vesi talo puu metsä järvi", "bb": "chleb woda dom drzewo las jezioro"}
+    rng = np.random.default_rng(3)
+    body = lambda x: " ".join(rng.choice(words[x].split(), 1500))
+    rows = [(i, head + body(x), x) for i, x in enumerate(["aa", "bb"] * 60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.predict([body("aa"), head + body("aa"), body("bb"), head + body("bb")])[0].tolist() == ["aa", "aa", "bb", "bb"]
+    assert all(len(x) == langid.SNIPPET for x in langid.snippets(rows[0][1])) and langid.snippets(None) == [""]
+    assert any(langid.snippets(t)[-1] in t[3200:] for _, t, _ in rows)
+
+
 def test_toxicity_learns():
     rng = np.random.default_rng(2)
     plain = lambda: " ".join(f"w{i}" for i in rng.integers(0, 400, 80))
