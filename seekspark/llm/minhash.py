@@ -73,7 +73,7 @@ def _signed(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
         rows = []
         for s in shingle_sets(b["_text"].tolist(), n):
             rows.append((len(s), *set_key(s), signature(s)) if len(s) else (0, 0, 0, None))
-        yield pd.DataFrame({"did": b["did"].to_numpy(np.int64), **dict(zip(("n", "s1", "s2", "sig"), zip(*rows), strict=False))}) if rows else pd.DataFrame({"did": [], "n": [], "s1": [], "s2": [], "sig": []})
+        yield pd.DataFrame({"did": b["did"].to_numpy(np.int64), **dict(zip(("n", "s1", "s2", "sig"), zip(*rows), strict=False)), "ord": b["ord"].astype("Int64")}) if rows else pd.DataFrame({"did": [], "n": [], "s1": [], "s2": [], "sig": [], "ord": []})
 
 
 def _compared(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
@@ -115,11 +115,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
-    """docs' (id, text hash) with n_shingles, component_id and kept; see near_duplicates."""
+def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS, order: str | None = None) -> DataFrame:
+    """docs' (id, text hash), and `ord`, the column `order`, with n_shingles, component_id and kept; see near_duplicates."""
     spark, need = docs.sparkSession, needed(percent)
-    src = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("did"), F.col(text).alias("_text"))
-    rows = common.saved(src.mapInPandas(lambda it: _signed(it, words), "did long, n long, s1 long, s2 long, sig array<int>"), "signatures")
+    src = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("did"), F.col(text).alias("_text"), (F.col(order) if order else F.lit(None)).cast("long").alias("ord"))
+    rows = common.saved(src.mapInPandas(lambda it: _signed(it, words), "did long, n long, s1 long, s2 long, sig array<int>, ord long"), "signatures")
     full = rows.where("n > 0")
     classes = full.groupBy("s1", "s2").agg(F.min("did").alias("label"), F.first("sig").alias("sig"))
     classes = common.saved(classes.select(F.col("s1").alias("node"), "label", "sig"), "classes")
@@ -129,7 +129,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     rare = posted.join(often, "list").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "list"))).alias("p"))
     room = F.greatest(F.lit(0), F.size("p") - (need - 1))  # K - need + 1 less the K - size(p) values that it alone holds
     lists = common.saved(rare.select("node", F.explode(F.slice("p", 1, room)).alias("x")).select("node", F.col("x.list").alias("list")), "postings")
-    texts = src.withColumnRenamed("_text", "t")
+    texts = src.select("did", F.col("_text").alias("t"))
     state = classes.select("node", "label", F.col("label").alias("comp"))
     links = spark.createDataFrame([], "a long, b long")
 
@@ -189,7 +189,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     compared(pairs.unionByName(other), need, False)
     out = rows.join(state.select(F.col("node").alias("s1"), "comp"), "s1", "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
-    return out.select("did", "s1", F.col("n").alias("n_shingles"), comp.alias("component_id"))
+    return out.select("did", "s1", F.col("n").alias("n_shingles"), comp.alias("component_id"), "ord")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:

@@ -93,6 +93,36 @@ def test_minhash_stage_links_pairs_from_80_percent(spark):
     assert minhash.near_duplicates(df, percent=85).where("kept").count() == 6
 
 
+def brute_near(rows: list) -> list:
+    """Rows that stay: the first (smallest id, nulls last) of each component of row pairs of 0.8, and all without words."""
+    sets = [set(s.tolist()) for s in shingle_sets([r[1] for r in rows])]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                comp = [comp[i] if c == comp[j] else c for c in comp]
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    best = {c: min((order(i) for i in range(len(rows)) if comp[i] == c)) for c in set(comp)}
+    taken, out = set(), []
+    for i in range(len(rows)):
+        if not sets[i] or order(i) == best[comp[i]] and comp[i] not in taken:
+            taken.add(comp[i])
+            out.append(rows[i][0])
+    return sorted(out, key=str)
+
+
+def test_minhash_stage_with_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    t = lambda p, n=60: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(3, t("a")), (5, t("b")), (5, t("a") + " x"), (None, t("a") + " y"), (None, t("c")), (None, t("c")), (None, t("c") + " z"), (None, t("d")), (7, t("e")), (7, t("e")), (8, t("d") + " q"), (None, ""), (None, None), (9, "  "), (0, t("f")), (None, t("f"))]
+    df = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, df, SF).collect()]
+    assert sorted((i for i, _ in got), key=str) == brute_near(rows) and {(5, t("b")), (3, t("a"))} <= set(got)
+    assert corpus_pipeline.near(spark, df.limit(0), SF).count() == 0
+
+
 def test_minhash_need_keeps_the_miss_chance():
     assert minhash.needed(85) == 15 and minhash.needed(80) < 15
     for percent in range(40, 101):
