@@ -43,8 +43,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fallback where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(found or FALLBACK_DIR).rstrip('/')}/tables"
 
 
@@ -60,17 +62,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-#: A key filter is a bit map of this many 64-bit words, so that what is broadcast has at most so many rows, whatever the data.
-FILTER_WORDS = 1 << 17
+#: A key filter is a bit map of so many 64-bit words, at least and at most: what is broadcast has at most that many rows, whatever the data.
+FILTER_WORDS, MOST_FILTER_WORDS = 1 << 17, 1 << 21
 
 
 def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """df without most of the rows whose key is not in wanted[key] (rows whose key is there all stay), before a join shuffles them.
 
-    The keys of wanted become a hashed bit map, one row a word; the more keys, the fuller the map and the less it takes away.
+    The keys of wanted become a hashed bit map, one row a word, of 32 bits a key. It grows to MOST_FILTER_WORDS (67 million keys at two
+    bits); beyond that it fills up and takes less and less away, so that at worst the join shuffles df once, in proportion.
     """
+    words = min(max(FILTER_WORDS, 1 << (wanted.count() // 2).bit_length()), MOST_FILTER_WORDS)
     h = F.xxhash64(F.lit(5), F.col(key))
-    word, bit = F.pmod(h, F.lit(FILTER_WORDS)).cast("int"), F.pmod(F.shiftright(h, 17), F.lit(64)).cast("int")
+    word, bit = F.pmod(h, F.lit(words)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int")
     bits = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     held = df.withColumns({"_word": word, "_at": bit}).join(F.broadcast(bits), "_word")
     return held.where(F.call_function("shiftright", F.col("_bits"), F.col("_at")).bitwiseAND(F.lit(1)) == 1).select(*df.columns)

@@ -2,18 +2,23 @@
 
 Documents with equal shingle sets form one class; only classes are compared. A class is posted under (coordinate, value) of its
 K-coordinate MinHash signature. A pair whose Jaccard similarity reaches the threshold matches in at least needed(percent) coordinates
-but for a chance of at most MISS, so it shares one of the K - needed + 1 rarest coordinate values of both: only that prefix is posted, and values that one class alone holds are never shuffled again. Merging skips: in each posting list the class of
-the smallest id, the hub, is compared with the rest, and pairs already in one component are never formed. A large group of near copies may
-still hold many components. Two of its texts a, b near one hub differ in exactly (a ^ hub) ^ (b ^ hub), so they can only be linked if they
-share a computable number of shingles that the hub lacks, unless that number is not positive; such pairs come from an inverted join over
-those rare shingles, which counts collisions. What is left of a list is compared pair by pair, each pair once. Collisions
-are counted on the signatures, and what passes is confirmed on full shingle sets.
+but for a chance of at most MISS, so it shares one of the K - needed + 1 rarest coordinate values of both: only that prefix is posted,
+and values that one class alone holds are never shuffled again. Merging skips: in each posting list the class of the smallest id, the
+hub, is compared with the rest, and pairs already in one component are never formed.
+
+A large group of near copies may still hold many components. Its members are then described by their edits, the shingles in which they
+differ from the group's consensus (`gathered`). Sizes and shared edits decide a link exactly, so texts are not read again: one star
+comparison finds all pairs that are linked whatever they share, and the others come from an inverted join over the rarest edits
+(`posted_edits`), again first with one member of each list and then with what is still apart. The work follows the number of edits and
+not the square of the group. Pairs of a list that have no hub in common are met in the list itself, by a second hub and then each pair
+once, if they collide in enough coordinates. What passes is confirmed on full shingle sets.
 Links, components and signatures stay in DataFrames; nothing of the size of the corpus reaches the driver.
 
-Defined results: words are runs of other than [\\x20\\x09-\\x0D] after A-Z are lower-cased; fewer words than a shingle make one
-shingle of all. Null, empty or blank texts have an empty set, link with nothing and are kept. A null doc_id orders last. Rows
-that share a doc_id are one document. Repeated rows are exact copies. Empty tables and very long texts work. Ties do not occur:
-a component is named by its smallest doc_id. Node keys are 64-bit hashes of shingle sets.
+Ids are integers. Defined results: words are runs of other than [\\x20\\x09-\\x0D] after A-Z are lower-cased; fewer words than a
+shingle make one shingle of all. Null, empty or blank texts have an empty set, link with nothing and are kept. A null doc_id orders
+last. Rows that share a doc_id are one document. Repeated rows are exact copies. Empty tables and very long texts work. Ties do not
+occur: a component is named by its smallest doc_id. Other columns are not returned, whatever their names. Node keys are 64-bit hashes of
+shingle sets.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ from seekspark.llm.hashing import BASE, mix, shingle_sets
 
 WORDS, COORDINATES = 5, 32
 MISS = 1e-7  # the greatest chance that a pair just at the threshold is not compared
-NEAR_HUB = 5  # matches with a hub from which a class is worth describing by its difference from it
+NEAR_HUB = 5  # matches with a hub from which a class is compared with it
+NEAR = 20  # percent of similarity to a hub from which a class is described by its edits of it
 LAST = 2**63 - 1
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 
@@ -77,17 +83,19 @@ def _signed(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
 
 
 def _compared(batches: Iterator[pd.DataFrame], n: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Exact comparison of a (a hub, or any text) with b: linked or not, sizes, and what b has that a has not."""
+    """Exact comparison of a (a hub, or any text) with b: linked or not, near or not, sizes, and in what shingles they differ."""
     held: tuple = (None, None)
     for batch in batches:
         rows = []
         for a, b, ta, s in zip(batch["a"], batch["b"], batch["ta"], shingle_sets(batch["tb"].tolist(), n)):
             if held[0] != a:
                 held = (a, next(shingle_sets([ta], n)))
-            more = np.setdiff1d(s, held[1], assume_unique=True)
-            both = len(s) - len(more)
-            rows.append((a, b, 100 * both >= percent * (len(s) + len(held[1]) - both), len(s), len(more), len(held[1]) - both, more.view(np.int64)))
-        yield pd.DataFrame(rows, columns=["a", "b", "linked", "n", "more", "less", "extra"])
+            edits = np.setxor1d(s, held[1], assume_unique=True)
+            either = (len(s) + len(held[1]) + len(edits)) // 2
+            both = either - len(edits)
+            near = 100 * both >= NEAR * either
+            rows.append((a, b, 100 * both >= percent * either, near, len(held[1]), len(s), edits.view(np.int64) if near else None))
+        yield pd.DataFrame(rows, columns=["a", "b", "linked", "near", "na", "nb", "edits"])
 
 
 def _own(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
@@ -115,6 +123,66 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
+def mixed(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows of those keys that still hold more than one component."""
+    return rows.join(rows.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*key), [*key])
+
+
+class Links:
+    """The links found so far and the components they make."""
+
+    def __init__(self, classes: DataFrame):
+        self.classes, self.found = classes, None
+        self.state = classes.select("node", "label", F.col("label").alias("comp"))
+
+    def add(self, sure: DataFrame) -> None:
+        """sure: (a, b), written already."""
+        if not sure.isEmpty():
+            self.found = sure if self.found is None else self.found.unionByName(sure)
+            self.state = components(self.classes.select("node", "label"), self.found)
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows with the component of their node as it is now."""
+        return rows.drop("comp").join(self.state.select("node", "comp"), "node")
+
+
+def gathered(group: DataFrame, percent: int) -> DataFrame:
+    """Groups (node, hub, n, edits, label, comp) with edits of the group's consensus in place of its hub, and g, star, star_comp.
+
+    The consensus holds what more than half of the members hold, so what all of them share against their hub is no edit any more, and
+    edits are rare. With g = (100 + percent) |edits| - (100 - percent) n, two members are linked exactly if the sum of their g is at most
+    2 (100 + percent) times the number of edits they share. Where that sum is not positive they are linked whatever they share, and then
+    both are linked so with the member of the least g, the star: comparing it with all others finds every such component.
+    """
+    sizes = group.groupBy("hub").agg(F.count("*").alias("m"))
+    held = group.select("hub", F.explode("edits").alias("item")).groupBy("hub", "item").agg(F.count("*").alias("c"))
+    usual = held.join(sizes, "hub").where("2 * c > m").groupBy("hub").agg(F.collect_list("item").alias("usual"))
+    usual = F.coalesce("usual", F.array().cast("array<long>")), group.join(usual, "hub", "left")
+    new = F.concat(F.array_except("edits", usual[0]), F.array_except(usual[0], F.col("edits")))
+    out = usual[1].withColumn("edits", new).withColumn("g", (100 + percent) * F.size("edits").cast("long") - (100 - percent) * F.col("n"))
+    out = common.saved(out.drop("usual"), "gathered")
+    star = out.groupBy("hub").agg(F.min(F.struct("g", "label", "node", "comp")).alias("s")).select("hub", F.col("s.g").alias("star_g"), F.col("s.node").alias("star"), F.col("s.comp").alias("star_comp"))
+    return out.join(star, "hub")
+
+
+def posted_edits(rows: DataFrame, percent: int) -> DataFrame:
+    """Of each member of an open group the rarest edits, as many as a link to a member of another component demands.
+
+    Every open pair has a probe, a member outside the star's component. A probe must share at least as many edits with any member as
+    with the star's g, any member as with the least g of the probes; the rest of its edits, the commonest, need not be posted. Edits that
+    one member alone has are never posted.
+    """
+    probe = F.col("comp") != F.col("star_comp")
+    least = rows.where(probe).groupBy("hub").agg(F.min("g").alias("probe_g"))
+    rows = rows.join(least, "hub").withColumn("probe", probe)
+    asked = F.greatest(F.lit(1), F.ceil((F.col("g") + F.when(F.col("probe"), F.col("star_g")).otherwise(F.col("probe_g"))) / (2 * (100 + percent))))
+    each = rows.select("hub", "node", F.explode("edits").alias("item"))
+    often = each.groupBy("hub", "item").agg(F.count("*").alias("df")).where("df > 1")
+    rare = each.join(often, ["hub", "item"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("p"))
+    rows = rows.select("hub", "node", "label", "comp", "g", "probe", F.size("edits").alias("d"), asked.cast("int").alias("asked")).join(rare, ["hub", "node"])
+    return rows.withColumn("item", F.explode(F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - F.col("asked") + 1)))).withColumn("item", F.col("item.item")).drop("p", "asked")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS, order: str | None = None) -> DataFrame:
     """docs' (id, text hash), and `ord`, the column `order`, with n_shingles, component_id and kept; see near_duplicates."""
     spark, need = docs.sparkSession, needed(percent)
@@ -130,14 +198,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     room = F.greatest(F.lit(0), F.size("p") - (need - 1))  # K - need + 1 less the K - size(p) values that it alone holds
     lists = common.saved(rare.select("node", F.explode(F.slice("p", 1, room)).alias("x")).select("node", F.col("x.list").alias("list")), "postings")
     texts = src.select("did", F.col("_text").alias("t"))
-    state = classes.select("node", "label", F.col("label").alias("comp"))
-    links = spark.createDataFrame([], "a long, b long")
-
+    links = Links(classes)
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda m: m))
 
-    def compared(pairs: DataFrame, least: int, extra: bool) -> DataFrame:
+    def compared(pairs: DataFrame, least: int) -> DataFrame:
         """Count collisions of the pairs, compare what passes on full sets, and join components."""
-        nonlocal links, state
         pairs = common.saved(pairs.distinct(), "pairs")
         sig = classes.select("node", "label", "sig")
         one = pairs.join(sig.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb")), "b")
@@ -147,49 +212,78 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
         shown = common.maybe_in(texts, "did", wanted).join(wanted, "did").mapInPandas(lambda it: _own(it, words), "did long, t string, node long").select("node", "t")
         shown = common.saved(shown.groupBy("node").agg(F.min("t").alias("t")), "near_texts")
         full = near.select("a", "b").join(shown.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(shown.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-        done = full.select("a", "b", "ta", "tb").mapInPandas(lambda it: _compared(it, words, percent), "a long, b long, linked boolean, n long, more long, less long, extra array<long>")
-        done = common.saved(done if extra else done.drop("extra"), "compared")
-        sure = done.where("linked").select("a", "b")
-        if not sure.isEmpty():
-            links = links.unionByName(sure)
-            state = components(classes.select("node", "label"), links)
+        done = common.saved(full.select("a", "b", "ta", "tb").mapInPandas(lambda it: _compared(it, words, percent), "a long, b long, linked boolean, near boolean, na long, nb long, edits array<long>"), "compared")
+        links.add(done.where("linked").select("a", "b"))
         return done
 
-    def open_lists(rows_: DataFrame, *key: str) -> DataFrame:
-        """What may still hold a link between components: lists with more than one, without the others."""
-        mixed = rows_.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*key)
-        return rows_.join(mixed, [*key])
-
-    mine = lists.join(state.select("node", "label", "comp"), "node")
-    hubs = mine.groupBy("list").agg(F.min(F.struct("label", "node")).alias("h")).select("list", F.col("h.node").alias("a"))
-    first = compared(mine.join(hubs, "list").where("node != a").select("a", F.col("node").alias("b")), min(NEAR_HUB, need), True)
-    # each class belongs to the hub of the smallest id that it is near to; a hub near to no other, to itself
-    hub_label = classes.select(F.col("node").alias("a"), "label")
-    near_to = first.join(hub_label, "a").groupBy("b").agg(F.min_by(F.struct(F.col("a").alias("hub"), "n", "more", "less", "extra"), F.struct("label", "a")).alias("x")).select(F.col("b").alias("node"), "x.*")
-    own = first.select(F.col("a").alias("node"), (F.col("n") - F.col("more") + F.col("less")).alias("n")).distinct().join(near_to.select("node"), "node", "left_anti")
-    none = F.lit(0).cast("long")
-    near_to = common.saved(near_to.unionByName(own.select("node", F.col("node").alias("hub"), "n", none.alias("more"), none.alias("less"), F.array().cast("array<long>").alias("extra"))), "near_to")
-    rest = open_lists(lists.join(state.select("node", "comp"), "node").select("list", "node", "comp"), "list")
-    rest = common.saved(rest.join(near_to.drop("extra"), "node", "left"), "open_lists")
-    # how many shingles beyond their hub's two texts must share to be linked: |a ^ b| = |(a ^ hub) ^ (b ^ hub)|, less a bit for rounding
-    share = (F.col("ma") + F.col("da") + F.col("mb") + F.col("db") - (100.0 - percent) / (100 + percent) * (F.col("na") + F.col("nb"))) / 2 - F.least("da", "db") - 1e-6
-    side = lambda df, x: df.select(*[F.col(c) for c in df.columns if c in ("list", "item", "in", "sig")], F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("hub").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("more").alias(f"m{x}"), F.col("less").alias(f"d{x}"))
-    # pairs near one hub that must share such shingles: an inverted join over those shingles, counting collisions
-    items = open_lists(state.select("node", "comp").join(near_to, "node"), "hub").withColumn("item", F.explode("extra")).drop("extra")
-    items = common.saved(open_lists(items, "hub", "item"), "open_items")
-    one, two = side(items, "a"), side(items, "b").withColumnRenamed("item", "item2")
-    pairs = one.join(two, (one["ha"] == two["hb"]) & (one["item"] == two["item2"]) & (one["a"] < two["b"]) & (one["ca"] != two["cb"]) & (share > 0))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(share).alias("share")).where("shared >= share").select("a", "b")
-    # all other pairs of a list, each in the first list that both are in
-    prefixes = rest.groupBy("node").agg(F.array_sort(F.collect_list("list")).alias("in"))
-    rest = common.saved(rest.join(prefixes, "node").join(classes.select("node", "sig"), "node"), "open_prefixes")
-    one, two = side(rest, "a").withColumnsRenamed({"in": "ia", "sig": "sa"}), side(rest, "b").withColumnsRenamed({"in": "ib", "list": "list2", "sig": "sb"})
-    apart = ~F.coalesce((F.col("ha") == F.col("hb")) & (share > 0), F.lit(False))
-    other = one.join(two, (one["list"] == two["list2"]) & (one["a"] < two["b"]) & (one["ca"] != two["cb"]) & apart & (same >= need) & (F.array_min(F.array_intersect("ia", "ib")) == one["list"])).select("a", "b")
-    compared(pairs.unionByName(other), need, False)
-    out = rows.join(state.select(F.col("node").alias("s1"), "comp"), "s1", "left")
-    comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("did"))
-    return out.select("did", "s1", F.col("n").alias("n_shingles"), comp.alias("component_id"), "ord")
+    # 1. the hub of each posting list, its class of the smallest id, against the rest of the list
+    mine = lists.join(links.state.select("node", "label"), "node")
+    hubs = common.saved(mine.groupBy("list").agg(F.min(F.struct("label", "node")).alias("h")).select("list", F.col("h.node").alias("hub")), "hubs")
+    first = compared(lists.join(hubs, "list").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), min(NEAR_HUB, need))
+    # each class belongs to the hub that most classes are near to, of those it is near to itself
+    near = first.where("near")
+    member = near.select(F.col("b").alias("node"), F.col("a").alias("hub"), F.col("nb").alias("n"), "edits")
+    own = near.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.col("na").alias("n")).distinct().withColumn("edits", F.array().cast("array<long>"))
+    member = member.unionByName(own)
+    fame = member.groupBy("hub").agg(F.count("*").alias("fame"))
+    best = F.max_by(F.struct("hub", "n", "edits"), F.struct("fame", "hub")).alias("x")
+    group = common.saved(member.join(fame, "hub").groupBy("node").agg(best).select("node", "x.*"), "groups")
+
+    # 2. groups around a hub that still hold several components, by their edits alone
+    opened = mixed(links.of(group.join(classes.select("node", "label"), "node")), "hub")
+    if not (opened := common.saved(opened, "open_groups")).isEmpty():
+        edits = gathered(opened, percent)
+        links.add(common.saved(edits.where((F.col("node") != F.col("star")) & (F.col("g") + F.col("star_g") <= 0)).select(F.col("star").alias("a"), F.col("node").alias("b")), "star_links"))
+        held = common.saved(edits.select("hub", "node", "edits", "g"), "edits")
+        left = mixed(links.of(edits), "hub").drop("star_comp")
+        left = left.join(links.state.select(F.col("node").alias("star"), F.col("comp").alias("star_comp")), "star")
+        items = common.saved(posted_edits(left, percent), "posted_edits")
+        side = lambda df, x: df.select("hub", "item", *[F.col(c).alias(f"{c}{x}") for c in ("node", "comp", "g", "d", "probe")])
+        possible = F.col("ga") + F.col("gb") <= 2 * (100 + percent) * F.least("da", "db")
+
+        def confirmed(pairs: DataFrame) -> None:
+            """Link the pairs (hub, a, b) that share edits enough."""
+            pairs = common.saved(pairs.distinct(), "edit_pairs")
+            at = lambda x: held.select("hub", F.col("node").alias(x), F.col("edits").alias(f"e{x}"), F.col("g").alias(f"g{x}"))
+            shared = F.size(F.array_intersect("ea", "eb")).cast("long")
+            sure = pairs.join(at("a"), ["hub", "a"]).join(at("b"), ["hub", "b"]).where(F.col("ga") + F.col("gb") <= 2 * (100 + percent) * shared)
+            links.add(common.saved(sure.select("a", "b"), "edit_links"))
+
+        # in each list of an edit the member nearest to the consensus against the others, then what is still apart
+        rest = common.saved(mixed(links.of(items), "hub", "item"), "open_items")
+        subs = rest.groupBy("hub", "item").agg(F.min(F.struct("g", "node", "comp", "d", "probe")).alias("s")).select("hub", "item", *[F.col(f"s.{c}").alias(f"{c}a") for c in ("node", "comp", "g", "d", "probe")])
+        meet = (F.col("compa") != F.col("compb")) & possible & (F.col("probea") | F.col("probeb"))
+        confirmed(subs.join(side(rest, "b"), ["hub", "item"]).where(meet).select("hub", F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")))
+        rest = common.saved(mixed(links.of(rest), "hub", "item"), "open_items")
+        one, two = side(rest.where("probe"), "a"), side(rest, "b")
+        once = ~F.col("probeb") | (F.col("nodea") < F.col("nodeb"))
+        twice = one.join(two, (one["hub"] == two["hub"]) & (one["item"] == two["item"]) & (F.col("nodea") != F.col("nodeb")) & (F.col("compa") != F.col("compb")) & once & possible)
+        confirmed(twice.select(one["hub"], F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")))
+
+    # 3. pairs of one list that no hub brings together: a second hub outside the first one's component, then each pair in the first list that both are in
+    def apart() -> DataFrame:
+        rows_ = links.of(lists).join(group.select("node", "hub"), "node", "left")
+        several = rows_.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("hub").alias("h0"), F.max("hub").alias("h1"), F.count("hub").alias("hn"), F.count("*").alias("n")).where("lo < hi AND (h0 < h1 OR hn < n)")
+        return common.saved(rows_.join(several.select("list"), "list"), "open_lists")
+
+    other = ~F.col("ha").eqNullSafe(F.col("hb")) | F.col("ha").isNull()
+    rest = apart()
+    if not rest.isEmpty():
+        first_hub = hubs.join(links.state.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub").select("list", "hub_comp")
+        seconds = rest.join(first_hub, "list").where("comp != hub_comp").join(classes.select("node", "label"), "node").groupBy("list").agg(F.min(F.struct("label", "node", "comp", "hub")).alias("s"))
+        seconds = seconds.select("list", F.col("s.node").alias("a"), F.col("s.comp").alias("ca"), F.col("s.hub").alias("ha"))
+        pairs = rest.select("list", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("hub").alias("hb")).join(seconds, "list").where((F.col("ca") != F.col("cb")) & other)
+        compared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), need)
+        rest = apart()
+        prefixes = rest.groupBy("node").agg(F.array_sort(F.collect_list("list")).alias("in"))
+        rest = common.saved(rest.join(prefixes, "node").join(classes.select("node", "sig"), "node"), "open_prefixes")
+        one, two = (rest.select(F.col("list").alias(f"l{x}"), F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("hub").alias(f"h{x}"), F.col("in").alias(f"i{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+        met = (F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & other & (same >= need) & (F.array_min(F.array_intersect("ia", "ib")) == F.col("la"))
+        compared(one.join(two, met).select("a", "b"), need)
+    # texts without words keep out of the join, since they would share one key
+    found = full.join(links.state.select(F.col("node").alias("s1"), "comp"), "s1").select("did", "s1", "n", "comp", "ord")
+    out = found.unionByName(rows.where("n = 0").select("did", "s1", "n", F.col("did").alias("comp"), "ord"))
+    return out.select("did", "s1", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), "ord")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
