@@ -3,14 +3,14 @@
 Documents with equal shingle sets form one class; only classes are compared. A class is posted under (coordinate, value) of its
 K-coordinate MinHash signature. A pair whose Jaccard similarity reaches the threshold matches in at least needed(percent) coordinates
 but for a chance of at most MISS, so it shares one of the K - needed + 1 rarest coordinate values of both: only that prefix is posted,
-and values that one class alone holds are never shuffled again. Merging skips: in each posting list the class of the smallest id, the
-hub, is compared with the rest, and pairs already in one component are never formed.
+and values that one class alone holds are never shuffled again. Merging skips: in each posting list the class whose own lists are
+longest, the hub, is compared with the rest, and pairs already in one component are never formed.
 
 A large group of near copies may still hold many components. Its members are then described by their edits, the shingles in which they
 differ from the group's consensus (`gathered`). Sizes and shared edits decide a link exactly, so texts are not read again: one star
 comparison finds all pairs that are linked whatever they share, and the others come from an inverted join over the rarest edits
-(`posted_edits`), again first with one member of each list and then with what is still apart. The work follows the number of edits and
-not the square of the group. Pairs of a list that have no hub in common are met in the list itself, by a second hub and then each pair
+(`posted_edits`). Who is outside the star's component is first gathered again with those of the same commonest edit (`parted`), around a
+consensus of their own, so a variant that many members share costs no pairs either. The work follows the number of edits and not the square of the group. Pairs of a list that have no hub in common are met in the list itself, by a second hub and then each pair
 once, if they collide in enough coordinates. What passes is confirmed on full shingle sets.
 Links, components and signatures stay in DataFrames; nothing of the size of the corpus reaches the driver.
 
@@ -37,7 +37,8 @@ from seekspark.llm.hashing import BASE, mix, shingle_sets
 WORDS, COORDINATES = 5, 32
 MISS = 1e-7  # the greatest chance that a pair just at the threshold is not compared
 NEAR_HUB = 5  # matches with a hub from which a class is compared with it
-NEAR = 20  # percent of similarity to a hub from which a class is described by its edits of it
+NEAR = 30  # percent of similarity to a hub from which a class is described by its edits of it
+LEVELS = 3  # how often a group is parted by its commonest edits
 LAST = 2**63 - 1
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 
@@ -129,25 +130,29 @@ def mixed(rows: DataFrame, *key: str) -> DataFrame:
 
 
 class Links:
-    """The links found so far and the components they make."""
+    """The component of each class so far. New links are joined on components, so only components that grow are worked on."""
 
     def __init__(self, classes: DataFrame):
-        self.classes, self.found = classes, None
-        self.state = classes.select("node", "label", F.col("label").alias("comp"))
+        self.state = classes.select("node", F.col("label").alias("comp"))
 
     def add(self, sure: DataFrame) -> None:
         """sure: (a, b), written already."""
-        if not sure.isEmpty():
-            self.found = sure if self.found is None else self.found.unionByName(sure)
-            self.state = components(self.classes.select("node", "label"), self.found)
+        at = lambda x: self.state.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+        links = common.saved(sure.join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "new_links")
+        if links.isEmpty():
+            return
+        nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+        grown = components(nodes.select("node", F.col("node").alias("label")), links)
+        grown = grown.where("node <> comp").select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+        self.state = common.saved(self.state.join(grown, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "state")
 
     def of(self, rows: DataFrame) -> DataFrame:
         """rows with the component of their node as it is now."""
         return rows.drop("comp").join(self.state.select("node", "comp"), "node")
 
 
-def gathered(group: DataFrame, percent: int) -> DataFrame:
-    """Groups (node, hub, n, edits, label, comp) with edits of the group's consensus in place of its hub, and g, star, star_comp.
+def gathered(group: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (node, hub, n, edits, label) with edits of the group's consensus in place of its hub, and g; and (hub, star, star_g).
 
     The consensus holds what more than half of the members hold, so what all of them share against their hub is no edit any more, and
     edits are rare. With g = (100 + percent) |edits| - (100 - percent) n, two members are linked exactly if the sum of their g is at most
@@ -161,8 +166,7 @@ def gathered(group: DataFrame, percent: int) -> DataFrame:
     new = F.concat(F.array_except("edits", usual[0]), F.array_except(usual[0], F.col("edits")))
     out = usual[1].withColumn("edits", new).withColumn("g", (100 + percent) * F.size("edits").cast("long") - (100 - percent) * F.col("n"))
     out = common.saved(out.drop("usual"), "gathered")
-    star = out.groupBy("hub").agg(F.min(F.struct("g", "label", "node", "comp")).alias("s")).select("hub", F.col("s.g").alias("star_g"), F.col("s.node").alias("star"), F.col("s.comp").alias("star_comp"))
-    return out.join(star, "hub")
+    return out, out.groupBy("hub").agg(F.min(F.struct("g", "label", "node")).alias("s")).select("hub", F.col("s.g").alias("star_g"), F.col("s.node").alias("star"))
 
 
 def posted_edits(rows: DataFrame, percent: int) -> DataFrame:
@@ -170,7 +174,7 @@ def posted_edits(rows: DataFrame, percent: int) -> DataFrame:
 
     Every open pair has a probe, a member outside the star's component. A probe must share at least as many edits with any member as
     with the star's g, any member as with the least g of the probes; the rest of its edits, the commonest, need not be posted. Edits that
-    one member alone has are never posted.
+    one member alone has are never posted. `left` is how many edits a member can share from this one on, in the common order.
     """
     probe = F.col("comp") != F.col("star_comp")
     least = rows.where(probe).groupBy("hub").agg(F.min("g").alias("probe_g"))
@@ -179,8 +183,18 @@ def posted_edits(rows: DataFrame, percent: int) -> DataFrame:
     each = rows.select("hub", "node", F.explode("edits").alias("item"))
     often = each.groupBy("hub", "item").agg(F.count("*").alias("df")).where("df > 1")
     rare = each.join(often, ["hub", "item"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("p"))
-    rows = rows.select("hub", "node", "label", "comp", "g", "probe", F.size("edits").alias("d"), asked.cast("int").alias("asked")).join(rare, ["hub", "node"])
-    return rows.withColumn("item", F.explode(F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - F.col("asked") + 1)))).withColumn("item", F.col("item.item")).drop("p", "asked")
+    rows = rows.select("hub", "node", "comp", "g", "probe", asked.cast("int").alias("asked")).join(rare, ["hub", "node"])
+    rows = rows.select("hub", "node", "comp", "g", "probe", F.size("p").alias("shared"), F.posexplode(F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - F.col("asked") + 1))).alias("at", "x"))
+    return rows.select("hub", "node", "comp", "g", "probe", F.col("x.item").alias("item"), (F.col("shared") - F.col("at")).alias("left"))
+
+
+def parted(rows: DataFrame) -> DataFrame:
+    """(hub, node, part): members of a group parted by the commonest edit of each, those parts that hold more than one component."""
+    each = rows.select("hub", "node", F.explode("edits").alias("item"))
+    often = each.groupBy("hub", "item").agg(F.count("*").alias("df")).where("df > 1")
+    most = each.join(often, ["hub", "item"]).groupBy("hub", "node").agg(F.max(F.struct("df", "item")).alias("x"))
+    parts = most.select("hub", "node", F.xxhash64("hub", F.col("x.item")).alias("part")).join(rows.select("hub", "node", "comp"), ["hub", "node"])
+    return mixed(parts, "part").select("hub", "node", "part")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 85, words: int = WORDS, order: str | None = None) -> DataFrame:
@@ -189,14 +203,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     src = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("did"), F.col(text).alias("_text"), (F.col(order) if order else F.lit(None)).cast("long").alias("ord"))
     rows = common.saved(src.mapInPandas(lambda it: _signed(it, words), "did long, n long, s1 long, s2 long, sig array<int>, ord long"), "signatures")
     full = rows.where("n > 0")
-    classes = full.groupBy("s1", "s2").agg(F.min("did").alias("label"), F.first("sig").alias("sig"))
-    classes = common.saved(classes.select(F.col("s1").alias("node"), "label", "sig"), "classes")
+    classes = full.groupBy("s1", "s2").agg(F.min("did").alias("label"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    classes = common.saved(classes.select(F.col("s1").alias("node"), "label", "n", "sig"), "classes")
     # postings: only values that two classes hold, and of each class only the rarest
     posted = classes.select("node", F.posexplode("sig").alias("k", "v")).withColumn("list", F.col("k") * F.lit(1 << 32) + F.col("v").cast("long").bitwiseAND(F.lit(2**32 - 1))).select("node", "list")
     often = posted.groupBy("list").agg(F.count("*").alias("df")).where("df > 1")
     rare = posted.join(often, "list").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "list"))).alias("p"))
     room = F.greatest(F.lit(0), F.size("p") - (need - 1))  # K - need + 1 less the K - size(p) values that it alone holds
-    lists = common.saved(rare.select("node", F.explode(F.slice("p", 1, room)).alias("x")).select("node", F.col("x.list").alias("list")), "postings")
+    rare = rare.select("node", F.slice("p", 1, room).alias("p")).withColumn("weight", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["df"]))
+    lists = common.saved(rare.select("node", "weight", F.explode("p").alias("x")).select("node", "weight", F.col("x.list").alias("list")), "postings")
     texts = src.select("did", F.col("_text").alias("t"))
     links = Links(classes)
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda m: m))
@@ -216,9 +231,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
         links.add(done.where("linked").select("a", "b"))
         return done
 
-    # 1. the hub of each posting list, its class of the smallest id, against the rest of the list
-    mine = lists.join(links.state.select("node", "label"), "node")
-    hubs = common.saved(mine.groupBy("list").agg(F.min(F.struct("label", "node")).alias("h")).select("list", F.col("h.node").alias("hub")), "hubs")
+    # 1. the hub of each posting list, the class with the longest lists (in a group of near copies one near its middle), against the rest of the list
+    hubs = common.saved(lists.groupBy("list").agg(F.max(F.struct("weight", "node")).alias("h")).select("list", F.col("h.node").alias("hub")), "hubs")
     first = compared(lists.join(hubs, "list").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), min(NEAR_HUB, need))
     # each class belongs to the hub that most classes are near to, of those it is near to itself
     near = first.where("near")
@@ -230,35 +244,34 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     group = common.saved(member.join(fame, "hub").groupBy("node").agg(best).select("node", "x.*"), "groups")
 
     # 2. groups around a hub that still hold several components, by their edits alone
-    opened = mixed(links.of(group.join(classes.select("node", "label"), "node")), "hub")
-    if not (opened := common.saved(opened, "open_groups")).isEmpty():
-        edits = gathered(opened, percent)
-        links.add(common.saved(edits.where((F.col("node") != F.col("star")) & (F.col("g") + F.col("star_g") <= 0)).select(F.col("star").alias("a"), F.col("node").alias("b")), "star_links"))
-        held = common.saved(edits.select("hub", "node", "edits", "g"), "edits")
-        left = mixed(links.of(edits), "hub").drop("star_comp")
-        left = left.join(links.state.select(F.col("node").alias("star"), F.col("comp").alias("star_comp")), "star")
+    now = mixed(links.of(group.select("node", "hub")), "hub").select("hub").distinct()
+    now = group.join(now, "hub").join(classes.select("node", "label"), "node")
+    levels: list[tuple[DataFrame, DataFrame, DataFrame | None]] = []
+    for level in range(LEVELS):
+        held, stars = gathered(now, percent)
+        if held.isEmpty():
+            break
+        links.add(common.saved(held.join(stars, "hub").where((F.col("node") != F.col("star")) & (F.col("g") + F.col("star_g") <= 0)).select(F.col("star").alias("a"), F.col("node").alias("b")), "star_links"))
+        left = mixed(links.of(held), "hub").join(stars, "hub").join(links.state.select(F.col("node").alias("star"), F.col("comp").alias("star_comp")), "star")
         items = common.saved(posted_edits(left, percent), "posted_edits")
-        side = lambda df, x: df.select("hub", "item", *[F.col(c).alias(f"{c}{x}") for c in ("node", "comp", "g", "d", "probe")])
-        possible = F.col("ga") + F.col("gb") <= 2 * (100 + percent) * F.least("da", "db")
-
-        def confirmed(pairs: DataFrame) -> None:
-            """Link the pairs (hub, a, b) that share edits enough."""
-            pairs = common.saved(pairs.distinct(), "edit_pairs")
-            at = lambda x: held.select("hub", F.col("node").alias(x), F.col("edits").alias(f"e{x}"), F.col("g").alias(f"g{x}"))
-            shared = F.size(F.array_intersect("ea", "eb")).cast("long")
-            sure = pairs.join(at("a"), ["hub", "a"]).join(at("b"), ["hub", "b"]).where(F.col("ga") + F.col("gb") <= 2 * (100 + percent) * shared)
-            links.add(common.saved(sure.select("a", "b"), "edit_links"))
-
-        # in each list of an edit the member nearest to the consensus against the others, then what is still apart
+        part = None
+        if level < LEVELS - 1:  # who is outside the star's component goes on with those of the same commonest edit
+            part = common.saved(parted(left.where("comp <> star_comp")), "parts")
+            now = held.join(part, ["hub", "node"]).select("node", F.col("part").alias("hub"), "n", "edits", "label")
+        levels.append((held, items, part))
+    # a linked pair passes at the first edit that both have: it shares that one and at most what is left of either
+    possible = F.col("ga") + F.col("gb") <= 2 * (100 + percent) * F.least("lefta", "leftb")
+    for held, items, part in reversed(levels):  # what the parts below have not joined already
+        items = items.join(part, ["hub", "node"], "left") if part is not None else items.withColumn("part", F.lit(None).cast("long"))
         rest = common.saved(mixed(links.of(items), "hub", "item"), "open_items")
-        subs = rest.groupBy("hub", "item").agg(F.min(F.struct("g", "node", "comp", "d", "probe")).alias("s")).select("hub", "item", *[F.col(f"s.{c}").alias(f"{c}a") for c in ("node", "comp", "g", "d", "probe")])
-        meet = (F.col("compa") != F.col("compb")) & possible & (F.col("probea") | F.col("probeb"))
-        confirmed(subs.join(side(rest, "b"), ["hub", "item"]).where(meet).select("hub", F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")))
-        rest = common.saved(mixed(links.of(rest), "hub", "item"), "open_items")
-        one, two = side(rest.where("probe"), "a"), side(rest, "b")
+        one, two = (rest.select("hub", "item", *[F.col(c).alias(f"{c}{x}") for c in ("node", "comp", "g", "left", "probe", "part")]) for x in "ab")
         once = ~F.col("probeb") | (F.col("nodea") < F.col("nodeb"))
-        twice = one.join(two, (one["hub"] == two["hub"]) & (one["item"] == two["item"]) & (F.col("nodea") != F.col("nodeb")) & (F.col("compa") != F.col("compb")) & once & possible)
-        confirmed(twice.select(one["hub"], F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")))
+        elsewhere = ~F.coalesce(F.col("parta") == F.col("partb"), F.lit(False))
+        met = (one["hub"] == two["hub"]) & (one["item"] == two["item"]) & (F.col("nodea") != F.col("nodeb")) & (F.col("compa") != F.col("compb")) & once & elsewhere & possible
+        pairs = common.saved(one.where("probea").join(two, met).select(one["hub"], F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct(), "edit_pairs")
+        at = lambda x: held.select("hub", F.col("node").alias(x), F.col("edits").alias(f"e{x}"), F.col("g").alias(f"g{x}"))  # noqa: B023, E731
+        shared = F.size(F.array_intersect("ea", "eb")).cast("long")
+        links.add(common.saved(pairs.join(at("a"), ["hub", "a"]).join(at("b"), ["hub", "b"]).where(F.col("ga") + F.col("gb") <= 2 * (100 + percent) * shared).select("a", "b"), "edit_links"))
 
     # 3. pairs of one list that no hub brings together: a second hub outside the first one's component, then each pair in the first list that both are in
     def apart() -> DataFrame:
@@ -276,9 +289,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
         compared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), need)
         rest = apart()
         prefixes = rest.groupBy("node").agg(F.array_sort(F.collect_list("list")).alias("in"))
-        rest = common.saved(rest.join(prefixes, "node").join(classes.select("node", "sig"), "node"), "open_prefixes")
-        one, two = (rest.select(F.col("list").alias(f"l{x}"), F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("hub").alias(f"h{x}"), F.col("in").alias(f"i{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
-        met = (F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & other & (same >= need) & (F.array_min(F.array_intersect("ia", "ib")) == F.col("la"))
+        rest = common.saved(rest.join(prefixes, "node").join(classes.select("node", "n", "sig"), "node"), "open_prefixes")
+        one, two = (rest.select(F.col("list").alias(f"l{x}"), F.col("node").alias(x), *[F.col(c).alias(f"{k}{x}") for c, k in (("comp", "c"), ("hub", "h"), ("in", "i"), ("sig", "s"), ("n", "n"))]) for x in "ab")
+        alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        met = (F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & other & alike & (same >= need) & (F.array_min(F.array_intersect("ia", "ib")) == F.col("la"))
         compared(one.join(two, met).select("a", "b"), need)
     # texts without words keep out of the join, since they would share one key
     found = full.join(links.state.select(F.col("node").alias("s1"), "comp"), "s1").select("did", "s1", "n", "comp", "ord")
