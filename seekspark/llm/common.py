@@ -10,7 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: Where scratch tables go if the session names no shared folder (tests only).
@@ -113,7 +112,8 @@ def prefixed(df: DataFrame, group: str, order: list[str], weight: str, name: str
     return out.join(sums, ["_part", group]).withColumns({"before": F.col("_wi") + F.col("_w0"), "rank": F.col("_ni") + F.col("_n0")}).drop("_part", "_wi", "_ni", "_w0", "_n0")
 
 
-def fields(df: DataFrame, more: str) -> T.StructType:
-    """df's fields followed by those of a DDL string."""
-    extra = T._parse_datatype_string(more)
-    return T.StructType(df.schema.fields + extra.fields)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -8,12 +8,13 @@ an owner in a run never changes.
 
 Defined results: null or empty text is one empty line. Rows with a null doc_id come last in the order and count as one
 document. Rows with the same doc_id are one document. Repeated rows each get the same result. Texts of any length and an
-empty table work; other columns pass through, unless their names begin with `_`.
+empty table work; other columns pass through, but for columns of the names that are added, which are replaced.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ from seekspark.llm import common
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_KEY, BATCHES, FANOUT = 10, 4, 2
+MIN_KEY, BATCHES, BATCH_BYTES, FANOUT = 10, 4, 256 << 30, 2
+ADDED = ("kept_text", "n_lines", "n_dropped")
 LAST = 2**63 - 1
 
 
@@ -66,10 +68,17 @@ class LineRuns:
                 merged = merged.unionByName(self.spark.table(name))
             new, level = self._write(merged), level + 1
             for name in full:
-                self.spark.sql(f"DROP TABLE {name}")
                 self._remove(name)
 
+    def drop(self) -> None:
+        """Remove all runs, once their owners are written elsewhere."""
+        for level in self.levels:
+            for name in level:
+                self._remove(name)
+        self.levels = []
+
     def _remove(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{common.shared_dir(self.spark)}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -93,45 +102,45 @@ def _hashed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """docs with kept_text (lines that stay, joined by \\n), n_lines and n_dropped."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int | None = None) -> DataFrame:
+    """docs with kept_text (lines that stay, joined by \\n), n_lines and n_dropped. Batches hold about BATCH_BYTES each, and are BATCHES at least."""
     spark = docs.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.select(F.percentile_approx(F.coalesce(F.col(id_col), F.lit(LAST)), [i / batches for i in range(1, batches)], 1000).alias("c")).first().c or []
-    batch = F.lit(0)
-    for c in sorted(set(cuts)):
-        batch = batch + (F.col("did") > c).cast("int")
+    ids = F.coalesce(F.col(id_col), F.lit(LAST))
+    if batches is None:
+        batches = max(BATCHES, -(-(docs.select(F.sum(F.octet_length(text))).first()[0] or 0) // BATCH_BYTES))
+    cuts = docs.select(F.percentile_approx(ids, [i / batches for i in range(1, batches)], 100 * batches).alias("c")).first().c or []
+    cuts = sorted(set(cuts))
+    batch = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("did") > c)) if cuts else F.lit(0)
     lines = common.saved(_hashed(docs, id_col, text).withColumn("batch", batch), "lines", "batch")
-    runs, shared = LineRuns(spark, parts), None
-    for i in range(len(set(cuts)) + 1):
+    runs, again = LineRuns(spark, parts), []
+    for i in range(len(cuts) + 1):
         mine = lines.where(F.col("batch") == i)
         keys = mine.groupBy("h1", "h2").agg(F.min("did").alias("owner"), F.max("did").alias("last"))
         keys = common.saved(keys, "batch_keys")
         # keys that this batch shares: held by two of its own documents, or by a run
-        again = [keys.where("owner < last").select("h1", "h2")]
-        again += [keys.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi").select("h1", "h2") for run in runs.all()]
-        for a in again:
-            shared = a if shared is None else shared.unionByName(a)
-        shared = common.saved(shared, "shared_keys")
+        shared = keys.where("owner < last").select("h1", "h2")
+        for run in runs.all():
+            shared = shared.unionByName(keys.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi").select("h1", "h2"))
+        again.append(common.saved(shared, "shared_keys"))
         runs.add(keys.select("h1", "h2", "owner"))
-    shared = common.saved(shared.distinct().join(runs.owners(), ["h1", "h2"]), "owners")
-    drops = lines.join(shared, ["h1", "h2"]).where("did > owner").groupBy("did", "th").agg(F.array_sort(F.collect_set("pos")).alias("_drop"))
+    shared = common.saved(reduce(DataFrame.unionByName, again).distinct().join(runs.owners(), ["h1", "h2"]), "owners")
+    runs.drop()
+    drops = lines.join(shared, ["h1", "h2"]).where("did > owner").groupBy("did", "th").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
     return _rebuilt(docs, drops, id_col, text)
 
 
 def _rebuilt(docs: DataFrame, drops: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Take the dropped positions out of each text, in time linear in its lines."""
-    keyed = docs.withColumns({"_did": F.coalesce(F.col(id_col), F.lit(LAST)), "_th": F.xxhash64(F.lit(3), text)})
-    gone = keyed.join(drops, (F.col("_did") == F.col("did")) & (F.col("_th") == F.col("th")), "left").drop("did", "th", "_did", "_th")
-    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("_drop"), i - 1))
-    flags = F.flatten(F.transform("_drop", lambda p, i: F.concat(F.array_repeat(F.lit(False), p - before(i) - 1), F.array(F.lit(True)))))
-    n = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop"))
-    return (
-        gone.withColumns({"_lines": _lines(text), "_flags": F.when(F.col("_drop").isNotNull(), flags), "n_dropped": n.cast("long")})
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("kept_text", F.when(F.col("_drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(_kept("_lines", "_flags"), "\n")))
-        .drop("_drop", "_lines", "_flags")
-    )
+    """Take the dropped positions out of each text, in time linear in its lines. The row travels as one column, so its names clash with nothing."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
+    keyed = docs.select(row.alias("row"), F.coalesce(F.col(id_col), F.lit(LAST)).alias("did"), F.xxhash64(F.lit(3), text).alias("th"), F.col(text).alias("text"))
+    gone = keyed.join(drops, ["did", "th"], "left")
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("drop"), i - 1))
+    flags = F.flatten(F.transform("drop", lambda p, i: F.concat(F.array_repeat(F.lit(False), p - before(i) - 1), F.array(F.lit(True)))))
+    n = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("drop"))
+    kept = F.when(F.col("drop").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(_kept("lines", "flags"), "\n"))
+    out = gone.withColumns({"lines": _lines("text"), "flags": F.when(F.col("drop").isNotNull(), flags)})
+    return out.select("row.*", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), n.cast("long").alias("n_dropped"))
 
 
 def _kept(lines: str, flags: str) -> Column:

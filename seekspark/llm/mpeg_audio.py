@@ -239,10 +239,11 @@ def scanned(media: DataFrame, column: str = "media") -> DataFrame:
             yield pd.DataFrame([features(bytes(x or b"")) for x in b], columns=names)
 
     names = [x.split()[0] for x in SCANNED.split(", ")]
-    out = media.withColumn("_scan", run(F.col(column)))
-    return out.select(*[c for c in media.columns if c not in names], *[F.col(f"_scan.{n}").alias(n) for n in names])
+    tmp = common.unused(media, "scan")
+    out = media.withColumn(tmp, run(F.col(column)))
+    return out.select(*[F.col(f"`{c}`") for c in media.columns if c not in names], *[F.col(f"{tmp}.{n}").alias(n) for n in names])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
-    return scanned(stored(docs).select("doc_id", "n_bytes", "media")).drop("media")
+    return scanned(common.saved(stored(docs).select("doc_id", "n_bytes", "media"), "media")).drop("media")

@@ -8,8 +8,9 @@ fractional solution is rounded down and the rest is placed best-fit into the pla
 first sequence, offset) of a size bounded by the capacity, not by the data; each piece finds its slot by its rank among
 pieces of its length, which is counted without moving texts.
 
-Defined results: null or empty text is the single id 0. A null doc_id passes through; repeated rows are each packed. Texts of
-any length and an empty table work. Extra columns of the input are not returned.
+Ids are integers. Defined results: null or empty text is the single id 0. A null doc_id passes through; repeated rows are each packed.
+Pieces of equal length take places in any order. Texts of any length and an empty table work. Other columns of the input are not
+returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -166,7 +167,7 @@ def solved(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -
         left[capacity] = 0
     long = np.flatnonzero(left[capacity // 2 + 1 :]) + capacity // 2 + 1
     short = np.flatnonzero(left[: capacity // 2 + 1])
-    if len(short) and left.sum() > rounds:
+    if len(short):
         spare = max(0.0, ((short * left[short]).sum() - ((capacity - long) * left[long]).sum()) / capacity)
         seeds, demand = np.append(long, 0), np.append(left[long].astype(float), spare)
         covered, used = np.zeros(len(short)), {}
@@ -225,7 +226,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
             b["doc_id"] = b["doc_id"].astype("Int64")
             yield b[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    return cut.join(groups.select("part", "length", "base"), ["part", "length"]).mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # both sides grow with the data, so neither may be broadcast: the join merges
+    return cut.join(groups.select("part", "length", "base").hint("merge"), ["part", "length"]).mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

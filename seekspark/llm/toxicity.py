@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """docs with score."""
+    """docs with score; a column of that name is replaced."""
     weights = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # BUCKETS floats, whatever the data
 
     @F.pandas_udf("double")
