@@ -4,7 +4,8 @@ Rotations are learned by iterative quantisation on a bounded sample: of the cent
 rotations each turn the signs into as many bits as there are dimensions. A code is split into substrings of PIECE bits, each of which has
 an index from substring value to the rows that hold it. For a Hamming radius r, a code within r of the query agrees with it within
 r_j bits in some substring j if the sum of (r_j + 1) exceeds r; probing all values within those r_j of every substring therefore
-retrieves every code within r. What is retrieved is checked on the full code, and the floats are ranked in double precision.
+retrieves every code within r. Where the probed buckets hold more entries than there are rows, the codes themselves are read instead, which
+retrieves the same. What is retrieved is checked on the full code, and the floats are ranked in double precision.
 The radius is the one that held TARGET of the true neighbours of sample queries in the sample; as the data grow denser, neighbours
 come nearer, so recall rises.
 
@@ -12,8 +13,9 @@ Index rows are dealt by hash into shards of about SHARD rows and queries into bl
 block in a task of bounded memory and returns at most k neighbours a query, which are merged. No row is dropped and no bucket is capped.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or non-finite components take no part. Null ids take no part.
-Ties go to the smaller id. Repeated vectors are separate candidates; a query never finds its own id. Fewer than k candidates are all found.
-An empty table gives no rows. Other columns are not returned.
+A score is the sum of products in order of the components, so equal vectors have equal scores; ties go to the smaller id. Repeated vectors
+are separate candidates; a query never finds its own id. Rows that share an id and a vector count once. Fewer than k candidates are all found.
+An empty table gives no rows. Other columns are not returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from seekspark.llm import common
 
-SAMPLE, SAMPLE_QUERIES, ROTATIONS, STEPS, PIECE, TARGET = 8000, 400, 2, 30, 8, 0.985
-SHARD, BLOCK, K = 8192, 4096, 20
+SAMPLE, SAMPLE_QUERIES, ROTATIONS, STEPS, PIECE, TARGET = 8000, 400, 4, 30, 8, 0.985
+SHARD, BLOCK, K = 1 << 16, 1 << 14, 20
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -75,38 +77,51 @@ class MultiIndex:
     """One substring index for each byte of the codes of a shard."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        self.codes, self.wide = codes, wide(codes)
         self.order = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(codes.shape[1])]
-        self.cuts = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
+        self.cuts = np.stack([np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)])
         self.near = POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None]]  # query byte x bucket
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """The rows whose code is within radius of code: pigeonhole probing, then a check of the full code."""
         m = len(self.order)
         base, more = divmod(radius, m)
-        found = np.zeros(len(self.codes), bool)
-        for j in range(m):
-            reach = base if j <= more else base - 1  # the sum of (reach + 1) is radius + 1
-            if reach < 0:
-                continue
-            hit = np.flatnonzero(self.near[code[j]] <= reach)
-            if len(hit) == 256:
-                found[:] = True
-                break
-            cuts, order = self.cuts[j], self.order[j]
-            runs = np.flatnonzero(np.diff(hit) > 1)  # neighbouring buckets are one slice
-            for a, b in zip(hit[np.r_[0, runs + 1]], hit[np.r_[runs, len(hit) - 1]]):
-                found[order[cuts[a] : cuts[b + 1]]] = True
-        rows = np.flatnonzero(found)
-        return rows[POPCOUNT[self.codes[rows] ^ code].sum(1, dtype=np.int32) <= radius]
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    if len(scores) > 4 * k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= edge)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+        reach = np.where(np.arange(m) <= more, base, base - 1)  # the sum of (reach + 1) is radius + 1
+        hits = self.near[code] <= reach[:, None]  # substring x bucket
+        rows: np.ndarray | slice = slice(None)
+        if (np.diff(self.cuts, axis=1) * hits).sum() < len(self.codes):
+            found = np.zeros(len(self.codes), bool)
+            for j, v in zip(*np.nonzero(hits)):
+                found[self.order[j][self.cuts[j, v] : self.cuts[j, v + 1]]] = True
+            rows = np.flatnonzero(found)
+        away = np.bitwise_count(self.wide[rows] ^ wide(code[None])).sum(1, dtype=np.int32)
+        near = np.flatnonzero(away <= radius)
+        return near if isinstance(rows, slice) else rows[near]
+
+
+def wide(codes: np.ndarray) -> np.ndarray:
+    """Codes as 64-bit words."""
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, each summed in order of the components: equal rows give equal results wherever they stand."""
+    out = np.zeros(len(x))
+    for j in range(len(q)):
+        out += x[:, j] * q[j]
+    return out
+
+
+def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k rows nearest to q. A fast product finds all that may be among them, with a margin for its rounding."""
+    rough = x @ q
+    if len(rough) > k:
+        edge = np.partition(rough, len(rough) - k)[len(rough) - k]
+        some = np.flatnonzero(rough >= edge - 1e-9 * max(1.0, float(np.abs(rough).max())))
+        x, ids = x[some], ids[some]
+    score = products(x, q)
+    top = np.lexsort((ids, -score))[:k]
+    return ids[top], score[top]
 
 
 def usable(vectors: DataFrame, id_col: str, column: str) -> DataFrame:
@@ -133,9 +148,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", c
     index = rows.withColumns({"shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     asking = asked.withColumns({"block": F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int"), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
 
-    def meet(key, held: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        learned = Codes(*shared.value)
-        names, found = ["query_id", "cand", "score"], []
+    def meet(held: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        learned, found = Codes(*shared.value), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(held) and len(block):
             x, q = np.stack(held["v"].to_numpy()), np.stack(block["v"].to_numpy())
             ids, index_, asked_codes = held["id"].to_numpy(np.int64), MultiIndex(learned.of(x)), learned.of(q)
@@ -144,15 +158,14 @@ def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", c
                 near = near[ids[near] != me]
                 if len(near) < min(k, len(ids)):  # the radius holds too few here: the whole shard is ranked
                     near = np.flatnonzero(ids != me)
-                score = x[near] @ q[i]
-                top = _best(score, ids[near], k)
-                found.append(pd.DataFrame({"query_id": me, "cand": ids[near][top], "score": score[top]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "cand": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float)})[names]
+                top, score = best(x[near], ids[near], q[i], k)
+                found.append((np.full(len(top), me), top, score))
+        return pd.DataFrame(dict(zip(("query_id", "cand", "score"), map(np.concatenate, zip(*found)))))
 
-    part = asking.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(lambda key, b, h: meet(key, h, b), "query_id long, cand long, score double")
+    part = asking.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(lambda b, h: meet(h, b), "query_id long, cand long, score double")
     # merging: at most k x shards rows a query
-    best = part.distinct().groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cand"))), 1, k).alias("b"))
-    ranked = best.select("query_id", F.posexplode("b").alias("pos", "b"))
+    merged = part.distinct().groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cand"))), 1, k).alias("b"))
+    ranked = merged.select("query_id", F.posexplode("b").alias("pos", "b"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.cand").alias(id_col), (-F.col("b.s")).alias("score"))
 
 
