@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi.
 
-The pieces and scores of a model file (its path is a parameter) are used as a unigram model: a text's ids are the segmentation of
-the greatest total score, earlier cuts winning ties, characters without a piece falling back to the pieces of their bytes. White space
-is escaped and a leading space added, as the model says. No piece of the file joins a word to the next one's leading space, which is checked on loading,
-so words are segmented on their own; distinct words of equal length advance together: for each end position the hashes of all substrings that
-end there probe the sorted piece keys, and one vectorised maximum stores the back pointers.
+A model file's path is a parameter. A unigram file's ids are the segmentation of the greatest total score, earlier cuts winning ties. The
+scores of a BPE file are merge ranks and no log-probabilities, so there the Viterbi runs over allowed neighbours instead: two pieces
+may follow each other exactly if merging their joined characters gives these two pieces again (`Merges.apart`), and each prefix of a word has
+one segmentation of allowed neighbours, the one that merging gives. Its ids are those of the file's own encoder; the tests compare both
+on all texts at hand. Characters without a piece fall back to the pieces of their bytes. White space is escaped and a leading space added,
+as the model says. No piece of the file joins a word to the next one's leading space, which is checked on loading, so words are segmented
+on their own; distinct words of equal length advance together: for each end position the hashes of all substrings that end there probe
+the sorted piece keys, and one vectorised maximum stores the back pointers.
 
 Defined results: null and empty texts have no ids. Decoding gives the text back exactly, but for U+2581, which the format itself reads as a
 space. Decoding unknown ids raises IndexError. Texts and words of any length work in memory linear in them. Repeated rows get equal results;
-other columns pass through.
+empty tables work. Other columns pass through; columns of the added names (ids, decoded) are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from seekspark.llm import common
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNIGRAM, BPE = 1, 2
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY, CACHE, CACHED_LENGTH, GROUP = 10.0, 300_000, 256, 1 << 16
@@ -69,12 +73,58 @@ def substring_hash(prefix: np.ndarray, powers: np.ndarray, a: int, b: int) -> np
     return prefix[:, b] - prefix[:, a] * powers[b - a] + np.uint64(b - a)
 
 
+class Merges:
+    """The order in which a BPE file's pieces are merged, and which pieces can stand side by side when all merging is done."""
+
+    def __init__(self, model: Pieces):
+        self.model, n = model, len(model.pieces)
+        self.length = np.array([len(p) for p in model.pieces])
+        self.raw = np.zeros(n, np.uint64)  # hashes without the length
+        self.raw[model.ids] = model.keys - self.length[model.ids].astype(np.uint64)
+        usable = np.isin(np.arange(n), model.ids)
+        self.time = np.where(usable & (self.length > 1), -model.scores, -1.0)  # single characters are there from the start
+        self.left, self.right = np.full(n, -1), np.full(n, -1)
+        self.formed = usable & (self.length == 1)  # pieces that merging their own characters gives
+        for size in range(2, model.longest + 1):  # the halves of a piece are shorter, so they are known
+            ids = np.flatnonzero(usable & (self.length == size))
+            if not len(ids):
+                continue
+            prefix = model.prefixes(model.points([model.pieces[i] for i in ids]))
+            for k in range(1, size):
+                a, b = (model.found(substring_hash(prefix, model.powers, *cut)) for cut in ((0, k), (k, size)))
+                ok = (a >= 0) & (b >= 0) & ~self.formed[ids]
+                ok[ok] = self.formed[a[ok]] & self.formed[b[ok]] & (np.maximum(self.time[a[ok]], self.time[b[ok]]) < self.time[ids[ok]])
+                ok[ok] = self.apart(a[ok], b[ok], self.time[ids[ok]])
+                self.left[ids[ok]], self.right[ids[ok]], self.formed[ids[ok]] = a[ok], b[ok], True
+
+    def apart(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | float = np.inf) -> np.ndarray:
+        """Whether no merge before `limit` crosses from a to b: as merging is undone, the later of the two pieces at the border first, no
+        two that stood there at one time may have a joined piece that merges before either goes into its own."""
+        x, y, limit = a.copy(), b.copy(), np.broadcast_to(limit, a.shape).astype(float).copy()
+        out, open_ = np.ones(len(a), bool), np.arange(len(a))
+        while len(open_):
+            p, q = x[open_], y[open_]
+            joined = self.model.found(self.raw[p] * self.model.powers[np.minimum(self.length[q], 64)] + self.raw[q] + (self.length[p] + self.length[q]).astype(np.uint64))
+            crossed = (joined >= 0) & (self.time[joined] < limit[open_])
+            out[open_[crossed]] = False
+            tp, tq = self.time[p], self.time[q]
+            go = ~crossed & ((tp >= 0) | (tq >= 0))
+            first = go & (tp > tq)
+            second = go & ~first
+            # of equal merges the one further left comes first
+            limit[open_[first]], x[open_[first]] = tp[first], self.right[p[first]]
+            limit[open_[second]], y[open_[second]] = tq[second] + 1, self.left[q[second]]
+            open_ = open_[go]
+        return out
+
+
 @dataclass
 class Pieces:
     pieces: list[str]
     scores: np.ndarray
     kinds: np.ndarray
     dummy_prefix: bool = True
+    bpe: bool = False
 
     def __post_init__(self):
         usable = np.flatnonzero(np.isin(self.kinds, (NORMAL, USER)))
@@ -90,7 +140,8 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], usable[order]
         assert len(np.unique(self.keys)) == len(self.keys), "piece hashes collide"
-        self.key_scores = self.scores[self.ids]
+        self.merges = Merges(self) if self.bpe else None
+        self.key_scores = self.scores[self.ids] if not self.bpe else np.where(self.merges.formed[self.ids], 0.0, -np.inf)
         self.unknown = float(self.scores[self.kinds == NORMAL].min(initial=0)) - UNKNOWN_PENALTY
         self.bytes = {int(self.pieces[i][3:5], 16): int(i) for i in np.flatnonzero(self.kinds == BYTE)}
         self.unknown_id = int(np.flatnonzero(self.kinds == UNKNOWN)[0]) if (self.kinds == UNKNOWN).any() else 0
@@ -102,7 +153,7 @@ class Pieces:
     @classmethod
     def load(cls, path: str) -> Pieces:
         if path not in _held:
-            pieces, scores, kinds, dummy = [], [], [], True
+            pieces, scores, kinds, dummy, model = [], [], [], True, UNIGRAM
             for number, value in _fields(open(path, "rb").read()):
                 if number == 1:
                     piece = dict(_fields(value))
@@ -114,7 +165,11 @@ class Pieces:
                     if spec.get(2) or spec.get(4, 1):
                         raise ValueError("only models without a normalisation table that keep white space are supported")
                     dummy = bool(spec.get(3, 1))
-            _held[path] = cls(pieces, np.array(scores, float), np.array(kinds), dummy)
+                elif number == 2:
+                    model = dict(_fields(value)).get(3, UNIGRAM)
+                    if model not in (UNIGRAM, BPE):
+                        raise ValueError(f"model type {model} is not supported")
+            _held[path] = cls(pieces, np.array(scores, float), np.array(kinds), dummy, model == BPE)
         return _held[path]
 
     @staticmethod
@@ -128,6 +183,19 @@ class Pieces:
             out[:, j + 1] = out[:, j] * PRIME + (points[:, j] + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
         return out
 
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, or -1."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.ids[at], -1)
+
+    def allowed(self, before: np.ndarray, after: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Which of the hits may follow the piece before it; anything may follow a word's start or a character without a piece."""
+        ask = hit & (before >= 0)
+        pairs, back = np.unique(before[ask] * len(self.pieces) + after[ask], return_inverse=True)
+        out = hit.copy()
+        out[ask] = self.merges.apart(pairs // len(self.pieces), pairs % len(self.pieces))[back]
+        return out
+
     def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of one length, one after another, and how many each has."""
         n, length = len(words), len(words[0])
@@ -138,6 +206,8 @@ class Pieces:
             hashes = np.stack([substring_hash(prefix, self.powers, e - k, e) for k in spans], 1)
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             hit = self.keys[at] == hashes
+            if self.merges:
+                hit = self.allowed(piece[:, e - len(spans) : e], self.ids[at], hit & self.merges.formed[self.ids[at]])
             total = np.where(hit, self.key_scores[at] + best[:, e - len(spans) : e], -np.inf)
             lone = ~hit[:, -1]
             total[lone, -1] = best[lone, e - 1] + self.unknown
