@@ -206,23 +206,39 @@ def test_sharding(spark, docs, odd):
 
 def test_sentencepiece(spark, odd, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    model = Pieces.load(path)
-    words = ["hello", "unbelievable", "日本語", "x\u0000y", "ab"]
-    scores = {p: s for p, s, k in zip(model.pieces, model.scores, model.kinds) if k == 1}
+    both = decoded(encoded(docs.unionByName(odd.select(*docs.columns)), path), path)
+    assert both.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0
+
+
+def test_sentencepiece_ids_equal_the_librarys():
+    """All texts of sf0.01 and odd ones: the BPE file's ids are those of its own encoder."""
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    texts += ["", " ", "  two  spaces ", "x\u0000y", "日本語 😀👍🏽", "a" * 700, "1234567890" * 9, "=-=-=-" * 30, "\n\n\t", "´ﬁ é", "The licensed software is provided", LONG]
+    want = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts, num_threads=1)
+    assert [x.tolist() for x in Pieces.load(path).encode(texts)] == want
+
+
+def test_sentencepiece_unigram_takes_the_best_total():
+    rng = np.random.default_rng(5)
+    pieces = ["<unk>", *sorted({"▁" * int(rng.integers(0, 2)) + "".join(rng.choice(list("abc"), rng.integers(1, 5))) for _ in range(60)} | {"▁", "a", "b", "c"})]
+    scores = np.r_[0.0, -rng.uniform(1, 9, len(pieces) - 1)]
+    model = Pieces(pieces, scores, np.array([2] + [1] * (len(pieces) - 1)))
+    held = dict(zip(pieces[1:], scores[1:]))
 
-    def brute(w):  # the best total over all segmentations
+    def brute(w):
         best = [0.0] + [-np.inf] * len(w)
         for e in range(1, len(w) + 1):
-            for s in range(max(0, e - model.longest), e):
-                best[e] = max(best[e], best[s] + scores.get(w[s:e], model.unknown if e - s == 1 else -np.inf))
+            best[e] = max(best[b] + held.get(w[b:e], -np.inf) for b in range(e))
         return best[-1]
 
-    for w in words:
+    for n in range(1, 30):
+        w = "".join(rng.choice(list("abc"), n))
         ids = model.encode([w])[0]
-        if all(model.kinds[i] == 1 for i in ids):
-            assert sum(model.scores[i] for i in ids) == pytest.approx(brute("▁" + w))
-    both = decoded(encoded(docs.unionByName(odd.select(*docs.columns)), path), path)
-    assert both.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0
+        assert "".join(pieces[i] for i in ids) == "▁" + w and scores[ids].sum() == pytest.approx(brute("▁" + w))
 
 
 def test_mpeg_audio(odd):
@@ -245,7 +261,7 @@ def test_mpeg_audio(odd):
 def test_html(spark):
     page = "<html><head><title>T</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>One <b>two</b>\n three.<p>Four.<div class=comments>c</div></article><footer>f</footer><script>var a='<p>x</p>'</script>"
     assert html_text.extract(page, html_text.learn([page] * 30)) == "A & B One two three. Four."
-    assert html_text.extract(None, html_text.Weights()) == "" and html_text.extract("<p", html_text.Weights()) == "<p"
+    assert html_text.extract(None, html_text.Weights()) == "" and html_text.extract("<p", html_text.Weights()) == ""
     rows = html_text.op7(spark, SF).collect()
     assert all(r.n_chars == len(r.text) > 0 for r in rows)
 
