@@ -70,7 +70,7 @@ def test_op3_as_registered(spark, odd):
     text = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id").text
     assert len(rows) == len(text) and rows.score.between(0, 1).all() and ((rows.score >= 0.5) == rows.predicted.astype(bool)).all()
     assert (rows.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id]).all()
-    docs, labels = (common.table(spark, SF, t) for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     allowed = common.fold(F.col("doc_id"), 5) != 0
     model = toxicity.train(docs, labels, allowed)
     other = toxicity.train(docs, labels.withColumn("toxic", F.when(allowed, F.col("toxic")).otherwise(1 - F.col("toxic"))), allowed)
@@ -98,7 +98,7 @@ def test_op4_laws(spark, odd):
 
 def test_op4_keeps_small_groups_and_parts_large_ones(spark):
     rng = np.random.default_rng(4)
-    small = [(i, f"text {i // 5} " + "x" * int(40 + i // 5 % 7), "en", f"s{rng.integers(3)}") for i in range(4000)]
+    small = [(i, f"text {i // 4} " + "x" * int(40 + i // 4 % 7), "en", f"s{rng.integers(3)}") for i in range(4000)]
     got = kd_sharding.shard(spark.createDataFrame(small, "doc_id long, text string, lang string, source string")).toPandas()
     assert (got.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
     sizes = got.groupby("shard")["size"].sum()
@@ -138,7 +138,7 @@ def test_op6_as_registered(spark, odd):
     assert all(x in (*docs.lang.dropna().unique(), "und") for x in rows.lang_pred)
     held = rows[rows.held_out & rows.doc_id.map(docs.lang.notna())]
     assert (held.lang_pred == held.doc_id.map(docs.lang)).mean() > 0.9
-    frame = common.table(spark, SF, "documents")
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
     fold = common.fold(F.col("doc_id"), 3) != 1
     model = langid.train(frame, fold)
     other = langid.train(frame.withColumn("lang", F.when(fold, F.col("lang")).otherwise("zz")), fold)
@@ -280,7 +280,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert compare(out.select("doc_id", "text"), sql, views(str(folder))) == ""
         docs = out
     a, b = kept["language"]
-    model = langid.train(common.table(spark, SF, "documents"), common.fold(F.col("doc_id"), 3) != 1)
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"), common.fold(F.col("doc_id"), 3) != 1)
     lang, score = model.predict(a.text.tolist())
     assert set(b.doc_id) == set(a.doc_id[(lang != "und") & (score >= model.threshold)])
     a, b = kept["toxicity"]
