@@ -10,8 +10,8 @@ A large group of near copies may still hold many components. Its members are the
 differ from the group's consensus (`gathered`). Sizes and shared edits decide a link exactly, so texts are not read again: one star
 comparison finds all pairs that are linked whatever they share, and the others come from an inverted join over the rarest edits
 (`posted_edits`). Who is outside the star's component is first gathered again with those of the same commonest edit (`parted`), around a
-consensus of their own, so a variant that many members share costs no pairs either. The work follows the number of edits and not the square of the group. Pairs of a list that have no hub in common are met in the list itself, by a second hub and then each pair
-once, if they collide in enough coordinates. What passes is confirmed on full shingle sets.
+consensus of their own, so a variant that many members share costs no pairs either. The work follows the number of edits and not the square of the group. Pairs of a list that have no hub in common are met in the list itself, each pair once, if
+they collide in enough coordinates and their sizes allow it. What passes is confirmed on full shingle sets.
 Links, components and signatures stay in DataFrames; nothing of the size of the corpus reaches the driver.
 
 Ids are integers. Defined results: words are runs of other than [\\x20\\x09-\\x0D] after A-Z are lower-cased; fewer words than a
@@ -24,6 +24,7 @@ shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -112,15 +113,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = common.saved(both, "links")
-    state = nodes.select("node", "label", F.col("label").alias("comp"))
+    state, held = nodes.select("node", "label", F.col("label").alias("comp")), []
     while True:
         near = both.join(state.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("least"))
         step = state.join(near.withColumnRenamed("a", "node"), "node", "left").withColumn("next", F.least("comp", F.coalesce("least", "comp")))
         roots = step.groupBy(F.col("label").alias("next")).agg(F.min("next").alias("up"))
         step = step.join(roots, "next", "left").select("node", "label", F.coalesce("up", "next").alias("new"), (F.coalesce("up", "next") != F.col("comp")).alias("moved"))
         step = common.saved(step, "components")
+        common.discard(*held)
+        held = [step]
         state = step.select("node", "label", F.col("new").alias("comp"))
         if step.where("moved").isEmpty():
+            common.discard(both)
             return state
 
 
@@ -145,6 +149,7 @@ class Links:
         grown = components(nodes.select("node", F.col("node").alias("label")), links)
         grown = grown.where("node <> comp").select(F.col("node").alias("comp"), F.col("comp").alias("into"))
         self.state = common.saved(self.state.join(grown, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "state")
+        common.tidy(self.state.sparkSession)
 
     def of(self, rows: DataFrame) -> DataFrame:
         """rows with the component of their node as it is now."""
@@ -160,8 +165,8 @@ def gathered(group: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     both are linked so with the member of the least g, the star: comparing it with all others finds every such component.
     """
     sizes = group.groupBy("hub").agg(F.count("*").alias("m"))
-    held = group.select("hub", F.explode("edits").alias("item")).groupBy("hub", "item").agg(F.count("*").alias("c"))
-    usual = held.join(sizes, "hub").where("2 * c > m").groupBy("hub").agg(F.collect_list("item").alias("usual"))
+    held = group.join(sizes, "hub").select("hub", "m", F.explode("edits").alias("item")).groupBy("hub", "item").agg(F.count("*").alias("c"), F.max("m").alias("m"))
+    usual = held.where("2 * c > m").groupBy("hub").agg(F.collect_list("item").alias("usual"))
     usual = F.coalesce("usual", F.array().cast("array<long>")), group.join(usual, "hub", "left")
     new = F.concat(F.array_except("edits", usual[0]), F.array_except(usual[0], F.col("edits")))
     out = usual[1].withColumn("edits", new).withColumn("g", (100 + percent) * F.size("edits").cast("long") - (100 - percent) * F.col("n"))
@@ -228,6 +233,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
         shown = common.saved(shown.groupBy("node").agg(F.min("t").alias("t")), "near_texts")
         full = near.select("a", "b").join(shown.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(shown.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
         done = common.saved(full.select("a", "b", "ta", "tb").mapInPandas(lambda it: _compared(it, words, percent), "a long, b long, linked boolean, near boolean, na long, nb long, edits array<long>"), "compared")
+        common.discard(pairs, near, wanted, shown)
+        common.tidy(spark)
         links.add(done.where("linked").select("a", "b"))
         return done
 
@@ -247,51 +254,54 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     now = mixed(links.of(group.select("node", "hub")), "hub").select("hub").distinct()
     now = group.join(now, "hub").join(classes.select("node", "label"), "node")
     levels: list[tuple[DataFrame, DataFrame, DataFrame | None]] = []
+    star_links = []
     for level in range(LEVELS):
         held, stars = gathered(now, percent)
         if held.isEmpty():
             break
-        links.add(common.saved(held.join(stars, "hub").where((F.col("node") != F.col("star")) & (F.col("g") + F.col("star_g") <= 0)).select(F.col("star").alias("a"), F.col("node").alias("b")), "star_links"))
-        left = mixed(links.of(held), "hub").join(stars, "hub").join(links.state.select(F.col("node").alias("star"), F.col("comp").alias("star_comp")), "star")
+        # whom the star links whatever they share counts as of its component from here on
+        sure = (F.col("node") != F.col("star")) & (F.col("g") + F.col("star_g") <= 0)
+        star_links.append(held.join(stars, "hub").where(sure).select(F.col("star").alias("a"), F.col("node").alias("b")))
+        left = links.of(held).join(stars, "hub").join(links.state.select(F.col("node").alias("star"), F.col("comp").alias("star_comp")), "star")
+        left = common.saved(mixed(left.withColumn("comp", F.when(sure, F.col("star_comp")).otherwise(F.col("comp"))), "hub"), "left")
         items = common.saved(posted_edits(left, percent), "posted_edits")
         part = None
         if level < LEVELS - 1:  # who is outside the star's component goes on with those of the same commonest edit
             part = common.saved(parted(left.where("comp <> star_comp")), "parts")
             now = held.join(part, ["hub", "node"]).select("node", F.col("part").alias("hub"), "n", "edits", "label")
         levels.append((held, items, part))
-    # a linked pair passes at the first edit that both have: it shares that one and at most what is left of either
-    possible = F.col("ga") + F.col("gb") <= 2 * (100 + percent) * F.least("lefta", "leftb")
-    for held, items, part in reversed(levels):  # what the parts below have not joined already
-        items = items.join(part, ["hub", "node"], "left") if part is not None else items.withColumn("part", F.lit(None).cast("long"))
-        rest = common.saved(mixed(links.of(items), "hub", "item"), "open_items")
-        one, two = (rest.select("hub", "item", *[F.col(c).alias(f"{c}{x}") for c in ("node", "comp", "g", "left", "probe", "part")]) for x in "ab")
-        once = ~F.col("probeb") | (F.col("nodea") < F.col("nodeb"))
-        elsewhere = ~F.coalesce(F.col("parta") == F.col("partb"), F.lit(False))
-        met = (one["hub"] == two["hub"]) & (one["item"] == two["item"]) & (F.col("nodea") != F.col("nodeb")) & (F.col("compa") != F.col("compb")) & once & elsewhere & possible
-        pairs = common.saved(one.where("probea").join(two, met).select(one["hub"], F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct(), "edit_pairs")
-        at = lambda x: held.select("hub", F.col("node").alias(x), F.col("edits").alias(f"e{x}"), F.col("g").alias(f"g{x}"))  # noqa: B023, E731
-        shared = F.size(F.array_intersect("ea", "eb")).cast("long")
-        links.add(common.saved(pairs.join(at("a"), ["hub", "a"]).join(at("b"), ["hub", "b"]).where(F.col("ga") + F.col("gb") <= 2 * (100 + percent) * shared).select("a", "b"), "edit_links"))
-
-    # 3. pairs of one list that no hub brings together: a second hub outside the first one's component, then each pair in the first list that both are in
-    def apart() -> DataFrame:
-        rows_ = links.of(lists).join(group.select("node", "hub"), "node", "left")
-        several = rows_.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("hub").alias("h0"), F.max("hub").alias("h1"), F.count("hub").alias("hn"), F.count("*").alias("n")).where("lo < hi AND (h0 < h1 OR hn < n)")
-        return common.saved(rows_.join(several.select("list"), "list"), "open_lists")
-
-    other = ~F.col("ha").eqNullSafe(F.col("hb")) | F.col("ha").isNull()
-    rest = apart()
+        common.discard(left)
+    if star_links:
+        links.add(common.saved(reduce(DataFrame.unionByName, star_links), "star_links"))
+        # a linked pair passes at the first edit that both have: it shares that one and at most what is left of either
+        possible = F.col("ga") + F.col("gb") <= 2 * (100 + percent) * F.least("lefta", "leftb")
+        found = []
+        for held, items, part in levels:  # each level without the pairs of one part, which are met below
+            items = items.join(part, ["hub", "node"], "left") if part is not None else items.withColumn("part", F.lit(None).cast("long"))
+            rest = common.saved(mixed(links.of(items), "hub", "item"), "open_items")
+            one, two = (rest.select("hub", "item", *[F.col(c).alias(f"{c}{x}") for c in ("node", "comp", "g", "left", "probe", "part")]) for x in "ab")
+            once = ~F.col("probeb") | (F.col("nodea") < F.col("nodeb"))
+            elsewhere = ~F.coalesce(F.col("parta") == F.col("partb"), F.lit(False))
+            met = (one["hub"] == two["hub"]) & (one["item"] == two["item"]) & (F.col("nodea") != F.col("nodeb")) & (F.col("compa") != F.col("compb")) & once & elsewhere & possible
+            pairs = one.where("probea").join(two, met).select(one["hub"], F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
+            at = lambda x: held.select("hub", F.col("node").alias(x), F.col("edits").alias(f"e{x}"), F.col("g").alias(f"g{x}"))  # noqa: B023, E731
+            shared = F.size(F.array_intersect("ea", "eb")).cast("long")
+            found.append(common.saved(pairs.join(at("a"), ["hub", "a"]).join(at("b"), ["hub", "b"]).where(F.col("ga") + F.col("gb") <= 2 * (100 + percent) * shared).select("a", "b"), "edit_links"))
+            common.discard(rest)
+            common.tidy(spark)
+        links.add(reduce(DataFrame.unionByName, found))
+        common.discard(*[t for level in levels for t in level if t is not None])
+
+    # 3. pairs of one list that no hub brings together, each in the first list that both are in
+    rest = links.of(lists).join(group.select("node", "hub"), "node", "left")
+    several = rest.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("hub").alias("h0"), F.max("hub").alias("h1"), F.count("hub").alias("hn"), F.count("*").alias("n")).where("lo < hi AND (h0 < h1 OR hn < n)")
+    rest = common.saved(rest.join(several.select("list"), "list"), "open_lists")
     if not rest.isEmpty():
-        first_hub = hubs.join(links.state.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp")), "hub").select("list", "hub_comp")
-        seconds = rest.join(first_hub, "list").where("comp != hub_comp").join(classes.select("node", "label"), "node").groupBy("list").agg(F.min(F.struct("label", "node", "comp", "hub")).alias("s"))
-        seconds = seconds.select("list", F.col("s.node").alias("a"), F.col("s.comp").alias("ca"), F.col("s.hub").alias("ha"))
-        pairs = rest.select("list", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("hub").alias("hb")).join(seconds, "list").where((F.col("ca") != F.col("cb")) & other)
-        compared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), need)
-        rest = apart()
         prefixes = rest.groupBy("node").agg(F.array_sort(F.collect_list("list")).alias("in"))
-        rest = common.saved(rest.join(prefixes, "node").join(classes.select("node", "n", "sig"), "node"), "open_prefixes")
+        rest = rest.join(prefixes, "node").join(classes.select("node", "n", "sig"), "node")
         one, two = (rest.select(F.col("list").alias(f"l{x}"), F.col("node").alias(x), *[F.col(c).alias(f"{k}{x}") for c, k in (("comp", "c"), ("hub", "h"), ("in", "i"), ("sig", "s"), ("n", "n"))]) for x in "ab")
         alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        other = ~F.col("ha").eqNullSafe(F.col("hb")) | F.col("ha").isNull()
         met = (F.col("la") == F.col("lb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & other & alike & (same >= need) & (F.array_min(F.array_intersect("ia", "ib")) == F.col("la"))
         compared(one.join(two, met).select("a", "b"), need)
     # texts without words keep out of the join, since they would share one key
