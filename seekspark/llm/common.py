@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 #: Where scratch tables go if the session names no shared folder (tests only).
 FALLBACK_DIR = "/tmp/checkpoints/seekspark"
 #: Arrow batches stay this small, since texts may be long.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
