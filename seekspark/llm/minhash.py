@@ -109,21 +109,29 @@ def _own(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp): the least label of each node's component, by least-label propagation with pointer jumping.
 
-    nodes: (node, label) with labels distinct or shared by nodes that belong together. links: (a, b).
+    nodes: (node, label) with labels distinct or shared by nodes that belong together. links: (a, b). Each step runs in as many tasks as
+    the links need, since few links over many tasks would leave mostly empty shuffle files.
     """
+    spark = nodes.sparkSession
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = common.saved(both, "links")
-    state, held = nodes.select("node", "label", F.col("label").alias("comp")), []
+    tasks = max(6, both.count() // 20_000)
+    small = lambda df: df.coalesce(tasks)
+    state = common.saved(small(nodes.select("node", "label", F.col("label").alias("comp"))), "components")
+    held = [state]
     while True:
-        near = both.join(state.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("least"))
-        step = state.join(near.withColumnRenamed("a", "node"), "node", "left").withColumn("next", F.least("comp", F.coalesce("least", "comp")))
-        roots = step.groupBy(F.col("label").alias("next")).agg(F.min("next").alias("up"))
-        step = step.join(roots, "next", "left").select("node", "label", F.coalesce("up", "next").alias("new"), (F.coalesce("up", "next") != F.col("comp")).alias("moved"))
-        step = common.saved(step, "components")
-        common.discard(*held)
-        held = [step]
-        state = step.select("node", "label", F.col("new").alias("comp"))
-        if step.where("moved").isEmpty():
+        near = small(both.join(state.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b")).groupBy("a").agg(F.min("c").alias("least"))
+        step = state.join(small(near).withColumnRenamed("a", "node"), "node", "left").withColumn("next", F.least("comp", F.coalesce("least", "comp")))
+        step = common.saved(small(step), "hop")
+        roots = small(step.groupBy(F.col("label").alias("next")).agg(F.min("next").alias("up")))
+        jump = step.join(roots, "next", "left").select("node", "label", F.coalesce("up", "next").alias("comp"), (F.coalesce("up", "next") != F.col("comp")).alias("moved"))
+        jump = common.saved(small(jump), "components")
+        common.discard(step, *held)
+        held = [jump]
+        state = jump.select("node", "label", "comp")
+        done = jump.where("moved").isEmpty()
+        common.tidy(spark)
+        if done:
             common.discard(both)
             return state
 
@@ -142,6 +150,7 @@ class Links:
     def add(self, sure: DataFrame) -> None:
         """sure: (a, b), written already."""
         at = lambda x: self.state.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+        common.tidy(self.state.sparkSession)
         links = common.saved(sure.join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "new_links")
         if links.isEmpty():
             return
@@ -171,6 +180,7 @@ def gathered(group: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     new = F.concat(F.array_except("edits", usual[0]), F.array_except(usual[0], F.col("edits")))
     out = usual[1].withColumn("edits", new).withColumn("g", (100 + percent) * F.size("edits").cast("long") - (100 - percent) * F.col("n"))
     out = common.saved(out.drop("usual"), "gathered")
+    common.tidy(group.sparkSession)
     return out, out.groupBy("hub").agg(F.min(F.struct("g", "label", "node")).alias("s")).select("hub", F.col("s.g").alias("star_g"), F.col("s.node").alias("star"))
 
 
@@ -216,6 +226,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     rare = posted.join(often, "list").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "list"))).alias("p"))
     room = F.greatest(F.lit(0), F.size("p") - (need - 1))  # K - need + 1 less the K - size(p) values that it alone holds
     rare = rare.select("node", F.slice("p", 1, room).alias("p")).withColumn("weight", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["df"]))
+    common.tidy(spark)
     lists = common.saved(rare.select("node", "weight", F.explode("p").alias("x")).select("node", "weight", F.col("x.list").alias("list")), "postings")
     texts = src.select("did", F.col("_text").alias("t"))
     links = Links(classes)
@@ -227,6 +238,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
         sig = classes.select("node", "label", "sig")
         one = pairs.join(sig.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb")), "b")
         near = common.saved(one.where(same >= least).select("a", "b", "la", "lb"), "near")
+        common.tidy(spark)
         wanted = near.select(F.col("la").alias("did"), F.col("a").alias("node")).unionByName(near.select(F.col("lb").alias("did"), F.col("b").alias("node"))).distinct()
         wanted = common.saved(wanted, "wanted")
         shown = common.maybe_in(texts, "did", wanted).join(wanted, "did").mapInPandas(lambda it: _own(it, words), "did long, t string, node long").select("node", "t")
@@ -249,6 +261,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
     fame = member.groupBy("hub").agg(F.count("*").alias("fame"))
     best = F.max_by(F.struct("hub", "n", "edits"), F.struct("fame", "hub")).alias("x")
     group = common.saved(member.join(fame, "hub").groupBy("node").agg(best).select("node", "x.*"), "groups")
+    common.tidy(spark)
 
     # 2. groups around a hub that still hold several components, by their edits alone
     now = mixed(links.of(group.select("node", "hub")), "hub").select("hub").distinct()
@@ -264,6 +277,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
         star_links.append(held.join(stars, "hub").where(sure).select(F.col("star").alias("a"), F.col("node").alias("b")))
         left = links.of(held).join(stars, "hub").join(links.state.select(F.col("node").alias("star"), F.col("comp").alias("star_comp")), "star")
         left = common.saved(mixed(left.withColumn("comp", F.when(sure, F.col("star_comp")).otherwise(F.col("comp"))), "hub"), "left")
+        common.tidy(spark)
         items = common.saved(posted_edits(left, percent), "posted_edits")
         part = None
         if level < LEVELS - 1:  # who is outside the star's component goes on with those of the same commonest edit
@@ -271,6 +285,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
             now = held.join(part, ["hub", "node"]).select("node", F.col("part").alias("hub"), "n", "edits", "label")
         levels.append((held, items, part))
         common.discard(left)
+        common.tidy(spark)
     if star_links:
         links.add(common.saved(reduce(DataFrame.unionByName, star_links), "star_links"))
         # a linked pair passes at the first edit that both have: it shares that one and at most what is left of either
