@@ -9,7 +9,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BYTES, SIZE, OVERLAP = 4096, 2048, 512
@@ -59,6 +59,125 @@ def header(path: str, scope: str, signature: str) -> str:
     return "// " + " | ".join(parts) + "\n"
 
 
+def squeezed(text: str) -> str:
+    """Trailing blanks go, indentation halves (a tab counts as two), runs of blank lines become one."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        line = line.rstrip()
+        if not line and len(out) > 1 and not out[-1] and not out[-2]:
+            continue
+        lead = len(line) - len(line.lstrip(" \t"))
+        wide = sum(2 if c == "\t" else 1 for c in line[:lead])
+        out.append(" " * -(-wide // 2) + line[lead:])
+    return "\n".join(out)
+
+
+def enriched(path: str, scope: str, signature: str, content: str, limit: int = MAX_BYTES) -> str:
+    """The squeezed content under its header, without the header where both would be over the limit."""
+    body = squeezed(content)
+    whole = header(path, scope or "", signature or "") + body
+    return whole if len(whole.encode()) <= limit else body
+
+
+def cut_windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, str]]:
+    """(first line, content) of a text's byte windows, as `windows` cuts them, in one pass over its lines."""
+    raw, line, counted = text.encode("utf-8", "surrogatepass"), 1, 0
+    for off in range(0, len(raw), max(size - overlap, 1)):
+        line, counted = line + raw.count(b"\n", counted, off), off
+        part = raw[off : off + size]
+        if off + size < len(raw) and b"\n" in part:
+            part = part[: part.rfind(b"\n") + 1]
+        try:
+            content = part.decode()
+        except UnicodeDecodeError:
+            continue
+        if content.strip():
+            yield line, content
+
+
+def _split(path: str, name: str, first: int, text: str, limit: int) -> list[tuple]:
+    return [(path, f"{name}[{i}]", "window", first + line - 1, first + line - 1 + content.rstrip("\n").count("\n"), content, content) for i, (line, content) in enumerate(cut_windows(text))]
+
+
+def _whole(path: str, text: str, limit: int) -> list[tuple]:
+    if not text.strip():
+        return []
+    base = path.rsplit("/", 1)[-1]
+    if len(text.encode()) > limit:
+        return _split(path, base, 1, text, limit)
+    return [(path, base, "file", 1, max(1, len(text.splitlines())), text, text)]
+
+
+def _syntax(path: str, ext: str, text: str, limit: int) -> list[tuple]:
+    """One chunk for each definition, windows of those over the limit, the whole file where none is found."""
+    lines, out = text.split("\n"), []
+    for d in extract(ext, text):
+        if d["record"] == "def":
+            content = "\n".join(lines[d["start_line"] - 1 : d["end_line"]])
+            if len(content.encode()) > limit:
+                out += _split(path, d["name"], d["start_line"], content, limit)
+            elif content.strip():
+                out.append((path, d["name"], d["kind"], d["start_line"], d["end_line"], content, enriched(path, d.get("scope") or "", d.get("signature") or "", content, limit)))
+    return out or _whole(path, text, limit)
+
+
+def _rdf(path: str, text: str, limit: int) -> list[tuple]:
+    """One chunk for each statement block, under a header where that fits."""
+    out, block, first, base = [], [], 0, path.rsplit("/", 1)[-1]
+
+    def flush() -> None:
+        content = "\n".join(line for _, line in block)
+        if content.strip():
+            name = next((x.strip() for _, x in block if x.strip() and not x.strip().startswith("#")), "")
+            name = "@prefix" if name.startswith(("@prefix", "PREFIX")) else "@base" if name.startswith(("@base", "BASE")) else (name.split() or [""])[0].rstrip(";,.") or base
+            if len(content.encode()) > limit:
+                out.extend(_split(path, name, block[0][0], content, limit))
+            else:
+                whole = f"# {path} | rdf: {name}\n{content}"
+                out.append((path, name, "rdf_statements", block[0][0], block[-1][0], content, whole if len(whole.encode()) <= limit else content))
+        block.clear()
+
+    directive = ("@prefix", "@base", "PREFIX", "BASE")
+    for i, line in enumerate(text.split("\n"), 1):
+        here = line.startswith(directive)
+        if block and block[-1][1].startswith(directive) and not here:
+            flush()
+        if not line.strip():
+            flush()
+            continue
+        block.append((i, line))
+        if not here and line.rstrip().endswith("."):
+            flush()
+    flush()
+    return out
+
+
+RDF_EXTENSIONS = ("ttl", "nt", "n3", "trig", "nq")
+CHUNK = "path string, name string, kind string, start_line int, end_line int, content string, enriched string"
+
+
+def chunked(path: str, text: str | None, text_mode: bool = False, limit: int = MAX_BYTES) -> list[tuple]:
+    """The chunks of one file: by syntax, by statement block, or by windows, as its extension says; by windows in text mode."""
+    ext, text = path.rsplit(".", 1)[-1].lower(), text or ""
+    if not text_mode and ext in EXTENSIONS:
+        return _syntax(path, ext, text, limit)
+    if not text_mode and ext in RDF_EXTENSIONS:
+        return _rdf(path, text, limit)
+    return _whole(path, text, limit)
+
+
+def dispatch(files: DataFrame, path: str = "path", text: str = "text", text_mode: bool = False, limit: int = MAX_BYTES) -> DataFrame:
+    """(path, name, kind, start_line, end_line, content, enriched) of all files. Null and blank texts have no chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in CHUNK.split(", ")]
+        for b in batches:
+            rows = [c for p, t in zip(b[path], b[text]) if p is not None for c in chunked(p, t, text_mode, limit)]
+            yield pd.DataFrame(rows, columns=names).astype({"start_line": "int32", "end_line": "int32"})
+
+    return files.select(path, text).mapInPandas(run, CHUNK)
+
+
 # --- extractors: path and text to definitions (name, kind, start_line, end_line, scope, signature), imports and calls ---
 
 
@@ -124,6 +243,17 @@ LINES = [
 IMPORTS = [(("rs",), r"^\s*(?:pub\s+)?use\s+([\w:]+)"), (("js", "jsx", "ts", "tsx"), r"(?:from\s+|require\(\s*|^\s*import\s+)[\"']([^\"']+)[\"']"), (("go",), r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\""), (("rb",), r"^\s*require(?:_relative)?\s+[\"']([^\"']+)")]
 
 
+EXTENSIONS = frozenset(["py", "pyi", *(e for exts, _, _ in BRACES + LINES for e in exts)])
+#: Languages by extension, for result sinks.
+LANGUAGES = {"rs": "rust", "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "rb": "ruby", "sh": "bash", "bash": "bash", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml"}
+
+
+def language(path: Column) -> Column:
+    """The language of a path's extension, or `text`."""
+    table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))), F.lit("text"))
+
+
 def _close(lines: list[str], at: int) -> int:
     """The line on which the brace opened at or after a line closes; the line itself if none opens before a semicolon."""
     depth = 0
@@ -147,12 +277,22 @@ def _lines(ext: str, text: str) -> list[dict]:
             if ext in exts:
                 out.extend({"record": "import", "name": m[1], "kind": "import", "start_line": i + 1, "end_line": i + 1} for m in re.finditer(pattern, line))
     defs = [d for d in out if d["record"] == "def"]
-    for d in defs:
-        around = sorted((x for x in defs if x is not d and x["start_line"] <= d["start_line"] and x["end_line"] >= d["end_line"] and x["end_line"] > x["start_line"]), key=lambda x: x["start_line"])
-        d["scope"] = " > ".join(f"{x['kind']} {x['name']}" for x in around)
+    open_: list[dict] = []
+    for d in defs:  # in order of their first lines
+        while open_ and open_[-1]["end_line"] < d["start_line"]:
+            open_.pop()
+        d["scope"] = " > ".join(f"{x['kind']} {x['name']}" for x in open_ if x["end_line"] >= d["end_line"])
+        if d["end_line"] > d["start_line"]:
+            open_.append(d)
     if any(ext in exts for exts, _, _ in BRACES):
+        holders, at, open_ = [d for d in defs if d["kind"] not in ("struct_item", "enum_item", "variable_declarator")], 0, []
         for i, line in enumerate(lines):
-            around = [d for d in defs if d["start_line"] <= i + 1 <= d["end_line"] and d["kind"] not in ("struct_item", "enum_item", "variable_declarator")]
+            while at < len(holders) and holders[at]["start_line"] <= i + 1:
+                open_.append(holders[at])
+                at += 1
+            while open_ and open_[-1]["end_line"] < i + 1:
+                open_.pop()
+            around = [d for d in open_ if d["end_line"] >= i + 1]
             if around:
                 inner = min(around, key=lambda d: d["end_line"] - d["start_line"])
                 out.extend({"record": "call", "name": m, "kind": "call", "start_line": i + 1, "end_line": i + 1, "scope": inner["name"]} for m in re.findall(r"(?<!fn )(?<!function )\b(\w+)\s*\(", line) if m != inner["name"] and m not in ("if", "for", "while", "switch", "return", "catch", "fn", "function"))
@@ -164,7 +304,23 @@ def extract(ext: str, text: str) -> list[dict]:
     try:
         return _python(text) if ext in ("py", "pyi") else _lines(ext, text)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return _outline(text)
+
+
+def _outline(text: str) -> list[dict]:
+    """Definitions and imports of Python text that does not parse: lines that begin one, to the last line indented below it."""
+    lines, out = text.split("\n"), []
+    for i, line in enumerate(lines):
+        if m := re.match(r"(\s*)(?:async\s+)?(def|class)\s+(\w+)", line):
+            end = i
+            while end + 1 < len(lines) and (not lines[end + 1].strip() or len(lines[end + 1]) - len(lines[end + 1].lstrip()) > len(m[1])):
+                end += 1
+            while end > i and not lines[end].strip():
+                end -= 1
+            out.append({"record": "def", "name": m[3], "kind": "class_definition" if m[2] == "class" else "function_definition", "start_line": i + 1, "end_line": end + 1, "scope": "", "signature": None})
+        elif m := re.match(r"\s*(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import\b)", line):
+            out.append({"record": "import", "name": m[1] or m[2], "kind": "import", "start_line": i + 1, "end_line": i + 1})
+    return out
 
 
 def diagnostics(ext: str, text: str) -> list[tuple[int, str]]:

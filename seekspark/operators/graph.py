@@ -83,8 +83,8 @@ def resolved_calls(calls: DataFrame, defs: DataFrame, imports: DataFrame) -> Dat
     return calls.join(best, "call_id", "left").select(*calls.columns, F.col("b.def_file").alias("def_file"), F.col("b.def_idx").alias("def_idx"))
 
 
-def enclosing(points: DataFrame, defs: DataFrame, innermost: bool = True) -> DataFrame:
-    """points (file_id, call_id, offset) with the definition [start, end) around each: the narrowest, or the first."""
+def enclosing(points: DataFrame, defs: DataFrame, innermost: bool = False) -> DataFrame:
+    """points (file_id, call_id, offset) with the definition [start, end) around each: the first in order, or the narrowest."""
     hit = points.join(defs, "file_id").where((F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("end")))
     order = F.struct((F.col("end") - F.col("start")).alias("span"), "def_idx") if innermost else F.struct("def_idx")
     return hit.groupBy("file_id", "call_id").agg(F.min_by("def_idx", order).alias("def_idx"))
@@ -94,7 +94,12 @@ def import_candidates(imports: DataFrame) -> DataFrame:
     """imports (import_id, file_path, raw, ext) with the paths that could be meant, by priority."""
     folder = F.regexp_replace("file_path", "[^/]*$", "")
     dotted = F.translate(F.regexp_replace("raw", r"^\.+", ""), ".", "/")
-    python = F.array(*[F.concat(dotted, F.lit(x)) for x in (".py", ".pyi", "/__init__.py", "/__init__.pyi")])
+    # leading dots climb from the importing file's folder; the same name from the root comes after that
+    climbs = F.length(F.regexp_extract("raw", r"^\.*", 0))
+    parts = F.filter(F.split(folder, "/"), lambda x: x != "")
+    near = F.array_join(F.concat(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - climbs + 1, F.lit(0))), F.filter(F.array(dotted), lambda x: x != "")), "/")
+    bases = F.when(climbs > 0, F.array(near, dotted)).otherwise(F.array(dotted))
+    python = F.flatten(F.transform(bases, lambda base: F.array(*[F.concat(base, F.lit(x)) for x in (".py", ".pyi", "/__init__.py", "/__init__.pyi")])))
     up = F.regexp_replace(F.concat(folder, F.col("raw")), r"(^|/)\./", "$1")
     for _ in range(4):
         up = F.regexp_replace(F.regexp_replace(up, r"(^|/)\./", "$1"), r"[^/]+/\.\./", "")
@@ -138,3 +143,20 @@ def rank_lookup(def_ranks: DataFrame, file_ranks: DataFrame) -> DataFrame:
     most = def_ranks.agg(F.max("rank").alias("m"))
     defs = def_ranks.groupBy(F.concat_ws("::", "path", "name").alias("key")).agg(F.max_by("rank", "def_idx").alias("rank"))
     return defs.unionByName(file_ranks.select(F.col("path").alias("key"), "rank")).crossJoin(F.broadcast(most)).select("key", (F.col("rank") / F.col("m")).alias("rank"))
+
+
+def first_definitions(defs: DataFrame) -> DataFrame:
+    """(path, name, def_idx) of each name's first definition in its file."""
+    return defs.groupBy("path", "name").agg(F.min("def_idx").alias("def_idx"))
+
+
+def focused(files: DataFrame, focus: str) -> DataFrame:
+    """The first path that is `focus` or ends with it; no row without one."""
+    return files.where(F.col("path").endswith(focus)).select("path").orderBy("path").limit(1)
+
+
+def calls_of(edges: DataFrame, names: DataFrame, node: int, incoming: bool) -> DataFrame:
+    """(place, name, weight): who calls a definition, or whom it calls, from its bounded neighbour list."""
+    mine = edges.where(F.col("dst" if incoming else "src") == node)
+    rows = neighbours(mine).where((F.col("node") == node) & (F.col("direction") == ("in" if incoming else "out")))
+    return rows.join(names.select(F.col("node").alias("other"), "name"), "other").select("place", "name", "weight")

@@ -17,7 +17,8 @@ FIELD_WEIGHTS = (9.0, 2.25, 1.0)
 
 
 def bm25(docs: DataFrame, id_col: str, fields: dict[str, float], terms: list[str], k: int | None, tokens=T.plain_tokens, k1: float = K1, b: float = B) -> DataFrame:
-    """The k best rows for any of the terms. Term counts are taken in one scan; only one row of corpus statistics is joined back.
+    """The k best rows for any of the terms, without an index: texts are read and tokenised twice, for the statistics and for the scores.
+    `postings` reads an index instead. Only one row of corpus statistics is joined back.
 
     A term may hold a space: it is then a phrase, counted where its words follow each other, with the rarity of its words together.
     """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from seekspark.operators import incremental as I
 from seekspark.operators import metrics as M
 from seekspark.operators import navigation as N
 from seekspark.operators import pairs as P
+from seekspark.operators import postings as X
 from seekspark.operators import ranking as R
+from seekspark.plans.scratch import shared_dir
 from seekspark.streaming import changes as S
 
 QUERIES: dict = {}
@@ -67,8 +71,28 @@ BODY = {"text": 1.0}
 NAMED = {"source": 9.0, "source || '/' || lang || '/' || doc_id || '.txt'": 2.25, "text": 1.0}
 
 
+_INDEXES: dict = {}
+
+
+def indexed(spark, d: str, name: str, fields: dict, weights: dict, tokens=T.plain_tokens, docs: DataFrame | None = None, id_col: str = "doc_id") -> X.Index:
+    """The inverted index of a table, built once for a session and read by every search after that."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        path = f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}"
+        _INDEXES[key] = X.build(docs_with_path(spark, d) if docs is None else docs, id_col, fields, weights, path, tokens)
+    return _INDEXES[key]
+
+
+def clauses(terms: list[str]) -> list[X.Clause]:
+    return [X.Clause(tuple(term.split(" "))) for term in terms]
+
+
+def body_index(spark, d):
+    return indexed(spark, d, "body", {"text": "text"}, BODY)
+
+
 def body_rank(spark, d, k=None):
-    return R.bm25(t(spark, d, "documents"), "doc_id", BODY, TERMS, k)
+    return X.search(body_index(spark, d), clauses(TERMS), k, "doc_id")
 
 
 @query(f"WITH {bm25_sql(BODY, TERMS)} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10")
@@ -78,13 +102,13 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {bm25_sql(NAMED, ['src3', 'en', 'tion'])} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
 def bm25_fielded(spark, d):
-    docs = docs_with_path(spark, d)
-    return rounded(R.bm25(docs, "doc_id", dict(zip(("source", "path", "text"), R.FIELD_WEIGHTS)), ["src3", "en", "tion"], 20), "score")
+    weights = dict(zip(("source", "path", "text"), R.FIELD_WEIGHTS))
+    return rounded(X.search(indexed(spark, d, "named", {n: n for n in weights}, weights), clauses(["src3", "en", "tion"]), 20, "doc_id"), "score")
 
 
 @query(f"WITH {bm25_sql(BODY, ['of the', 'is licensed'])} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10")
 def bm25_phrase(spark, d):
-    return rounded(R.bm25(t(spark, d, "documents"), "doc_id", BODY, ["of the", "is licensed"], 10), "score")
+    return rounded(X.search(body_index(spark, d), clauses(["of the", "is licensed"]), 10, "doc_id"), "score")
 
 
 _PARTS = r"list_filter(string_split(lower(regexp_replace(regexp_replace({x}, '([\p{{Ll}}0-9])(\p{{Lu}})', '\1_\2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1_\2', 'g')), '_'), lambda y: y <> '')"
@@ -368,7 +392,7 @@ def call_resolution(spark, d):
 @query(_FIX + " SELECT c.call_id, c.file_id, d.def_idx FROM calls c JOIN defs d ON d.file_id = c.file_id AND off >= s AND off < t QUALIFY row_number() OVER (PARTITION BY c.file_id, call_id ORDER BY t - s, def_idx) = 1")
 def call_in_def(spark, d):
     defs, calls, _ = fixture(spark)
-    return G.enclosing(calls, defs).select("call_id", "file_id", "def_idx")
+    return G.enclosing(calls, defs, innermost=True).select("call_id", "file_id", "def_idx")
 
 
 IMPORT_ROWS = [(0, "pkg/a.py", "pkg.b", "py"), (1, "pkg/a.py", ".c", "py"), (2, "web/x.ts", "./y", "ts"), (3, "web/x.ts", "../lib/z", "ts"), (4, "web/x.ts", "react", "ts"), (5, "src/m.rs", "crate::n::Item", "rs"), (6, "src/m/k.rs", "self::q", "rs"), (7, "pkg/a.py", "os", "py")]
@@ -539,10 +563,6 @@ def debounce_sessions(spark, d):
 @query()
 def debounce_stream(spark, d):
     """The stream's finished sessions, through a file source and an append sink."""
-    import uuid
-
-    from seekspark.plans.scratch import shared_dir
-
     events = t(spark, d, "events").select("user_id", "ts")
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events.write.parquet(f"{base}/in")

@@ -10,7 +10,11 @@ FALLBACK_DIR = "/tmp/checkpoints/seekspark"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """spark.checkpoint.dir; only a local session may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or FALLBACK_DIR).rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
