@@ -60,6 +60,18 @@ def grid(points: DataFrame, n: int = 10) -> DataFrame:
     return points.groupBy(cell("x").alias("cx"), cell("y").alias("cy")).agg(F.count("*").alias("n"), F.avg("z").alias("mean_z")).withColumn("density", density(F.col("n")))
 
 
+def latest(points: DataFrame, order: list[str], value: str, n: int = 100_000) -> DataFrame:
+    """The last n points, with the least and greatest value that any point ever had."""
+    ends = points.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))  # one row
+    return points.orderBy(*[F.desc(c) for c in order]).limit(n).crossJoin(F.broadcast(ends))
+
+
+def skew(rows: DataFrame) -> DataFrame:
+    """Rows of the fullest and emptiest task, and how many tasks have rows."""
+    each = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("active"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
 FAMILIES = {"rs": "rust", "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "c++", "md": "markdown", "toml": "toml", "json": "json", "yaml": "yaml", "yml": "yaml", "txt": "text"}
 
 

@@ -159,6 +159,12 @@ def page(rows: DataFrame, offset: int, k: int) -> DataFrame:
     return rows.offset(offset).limit(k)
 
 
+def mean_recall(recalls: DataFrame, semantic: float = 0.9, hybrid: float = 0.98) -> DataFrame:
+    """One row: how many queries, their mean recall, and whether it passes either mark."""
+    mean = F.avg("recall")
+    return recalls.agg(F.count("*").alias("queries"), mean.alias("recall"), (mean >= semantic).alias("semantic_pass"), (mean >= hybrid).alias("hybrid_pass"))
+
+
 def recall(rows: DataFrame, expected: str, got: str) -> DataFrame:
     """rows with recall: the share of the distinct expected items found."""
     want = F.array_distinct(expected)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekspark.operators.chunks import language
+
 #: Names of lock files that are never indexed, and extensions of file types.
 LOCK_FILES = ("Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Gemfile.lock", "go.sum")
 FILE_TYPES = {"rust": ("rs",), "python": ("py", "pyi"), "py": ("py", "pyi"), "js": ("js", "jsx", "mjs", "cjs"), "ts": ("ts", "tsx"), "go": ("go",), "java": ("java",), "c": ("c", "h"), "cpp": ("cpp", "hpp", "cc"), "md": ("md", "markdown"), "json": ("json",), "yaml": ("yaml", "yml"), "toml": ("toml",)}
@@ -52,8 +54,10 @@ def read_objects(spark: SparkSession, path: str, digests: list[str] | None = Non
 
 def plain(results: DataFrame) -> DataFrame:
     """results (rank, name, path, start_line, end_line, score, content) as text lines."""
-    return results.select("rank", F.format_string("%d. %s (%s:%d-%d) [%.3f]", F.col("rank") + 1, "name", "path", "start_line", "end_line", "score").alias("line"))
+    head = F.format_string("%d. %s (%s:%d-%d) [%.3f]", F.col("rank") + 1, "name", "path", "start_line", "end_line", "score")
+    return results.select("rank", F.concat(head, F.lit("\n"), F.coalesce("content", F.lit(""))).alias("line"))
 
 
 def json_lines(results: DataFrame) -> DataFrame:
-    return results.select(F.to_json(F.struct(*[c for c in results.columns])).alias("value"))
+    """One JSON object a row, with the language of its path."""
+    return results.select(F.to_json(F.struct(*results.columns, language(F.col("path")).alias("language"))).alias("value"))
