@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 
 #: Where scratch tables go if the session names no shared folder (tests only).
 FALLBACK_DIR = "/tmp/checkpoints/seekspark"
+LIBC = ctypes.CDLL(None)
 #: Arrow batches stay this small, since texts may be long.
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
@@ -68,8 +70,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps, which it does for plans that the driver has collected as garbage."""
+    """Let Spark's cleaner remove the shuffle files of finished steps, which it does for plans that the driver has collected as garbage, and
+    give the driver's freed Python memory back to the system where its C library can."""
     gc.collect()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
     spark._jvm.System.gc()
 
 

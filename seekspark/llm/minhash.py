@@ -39,7 +39,7 @@ WORDS, COORDINATES = 5, 32
 MISS = 1e-7  # the greatest chance that a pair just at the threshold is not compared
 NEAR_HUB = 5  # matches with a hub from which a class is compared with it
 NEAR = 30  # percent of similarity to a hub from which a class is described by its edits of it
-LEVELS = 3  # how often a group is parted by its commonest edits
+LEVELS = 2  # how often a group is parted by its commonest edits
 LAST = 2**63 - 1
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 

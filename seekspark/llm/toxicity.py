@@ -160,7 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
 
         return [np.asarray(x, np.int32) for x in rows.select(of("t").alias("x")).toPandas()["x"]]
 
-    return fit(features(common.bounded_sample(toxic, id_col, POSITIVES)), features(common.bounded_sample(rest, id_col, UNLABELLED)), prior)
+    model = fit(features(common.bounded_sample(toxic, id_col, POSITIVES)), features(common.bounded_sample(rest, id_col, UNLABELLED)), prior)
+    common.tidy(docs.sparkSession)
+    return model
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
