@@ -1,8 +1,8 @@
 """An inverted index as Parquet tables, and keyword search that reads only the terms asked for.
 
-`postings` (bucket, term, field, id, len, positions) is partitioned by a hash of the term and sorted by it, so a search prunes to the buckets of
-its terms and skips row groups within them; `terms` holds each term's document count by field, `stats` one row a field. A search reads the
-few rows of terms and stats first, and then scores in one aggregation by id; no text is read again.
+`postings` (bucket, term, field, id, len, pos) is partitioned by a hash of the term and sorted by it, so a search prunes to the buckets of
+its terms and skips row groups within them; `stats` holds one row a field. A build shuffles tokens once. A search counts documents of its
+terms over their own postings and then scores in one aggregation by id; no text is read again.
 
 Query syntax: bare words (any of them), "quoted phrases", AND between clauses that must both match, field:word. A word or phrase of several
 tokens is a phrase. A query that does not parse (an open quote, a field that is not there, an operator without a side) matches every
@@ -51,13 +51,9 @@ def build(docs: DataFrame, id_col: str, fields: dict[str, Column | str], weights
     lengths = rows.select("field", F.size("toks").alias("len"))
     lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     each = rows.select("id", "field", F.size("toks").alias("len"), F.posexplode("toks").alias("pos", "term"))
-    found = each.groupBy("term", "field", "id").agg(F.first("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    found = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    found.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "field", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index = Index(docs.sparkSession, path, weights, tokens)
-    counts = index.table("postings").groupBy("bucket", "term", "field").agg(F.count("*").alias("df"))
-    counts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    return index
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    each.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "field", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    return Index(docs.sparkSession, path, weights, tokens)
 
 
 def split(index: Index, phrase: str) -> tuple[str, ...]:
@@ -99,16 +95,22 @@ def search(index: Index, query: str | list[Clause], k: int | None = None, id_nam
         return postings.limit(0).select(F.col("id").alias(id_name), F.lit(0.0).alias("score"))
     asked = index.spark.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("b")).distinct()
     there = F.col("bucket").isin(*[r.b for r in asked.collect()]) & F.col("term").isin(*words)
-    df = {(r.field, r.term): r.df for r in index.table("terms").where(there).collect()}  # at most words x fields rows
     stats = {r.field: r for r in index.table("stats").collect()}  # one row a field
-    rows = postings.where(there).groupBy("id", "field").agg(F.first("len").alias("len"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    asked_for = postings.where(there)
+    df = {(r.field, r.term): r.df for r in asked_for.groupBy("field", "term").agg(F.countDistinct("id").alias("df")).collect()}  # at most words x fields rows
+    at = {w: i for i, w in enumerate(words)}
+    phrased = sorted({w for c in clauses if len(c.words) > 1 for w in c.words})
+    counts = [F.count_if(F.col("term") == w).alias(f"c{at[w]}") for w in words]
+    places = [F.collect_list(F.when(F.col("term") == w, F.col("pos"))).alias(f"p{at[w]}") for w in phrased]
+    rows = asked_for.groupBy("id", "field").agg(F.first("len").alias("len"), *counts, *places)
     total, scores = F.lit(0.0), []
     for c in clauses:
-        first = F.coalesce(F.try_element_at("at", F.lit(c.words[0])), F.array().cast("array<int>"))
-        for d, w in enumerate(c.words[1:], 1):
-            then = F.coalesce(F.try_element_at("at", F.lit(w)), F.array().cast("array<int>"))
-            first = F.transform(F.array_intersect(F.transform(first, lambda p: p + d), then), lambda p: p - d)  # noqa: B023
-        tf, score = F.size(first), F.lit(0.0)
+        tf, score = F.col(f"c{at[c.words[0]]}"), F.lit(0.0)
+        if len(c.words) > 1:
+            first = F.col(f"p{at[c.words[0]]}")
+            for d, w in enumerate(c.words[1:], 1):
+                first = F.transform(F.array_intersect(F.transform(first, lambda p: p + d), F.col(f"p{at[w]}")), lambda p: p - d)  # noqa: B023
+            tf = F.size(first)
         for name, weight in index.weights.items():
             if name in stats and (not c.field or c.field == name):
                 s = stats[name]
