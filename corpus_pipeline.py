@@ -59,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("toxicity", clean), ("line_dedup", lines), ("minhash", near), ("packing", packed)]
 
-#: Two stages learn models, which SQL cannot express; a test compares the near-duplicate stage with brute force, none compares run().
+#: Two stages learn models, which SQL cannot express; tests compare each stage with brute force on its own input, and run() with the stages.
 ORACLE_SQL = None
 
 
