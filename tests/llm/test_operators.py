@@ -331,3 +331,24 @@ def test_ann(spark):
         hits += len(set(want) & {i for _, i in found})
     assert set(got) == {i for i in x if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
     assert ann.neighbours(all_.limit(0), all_).count() == 0
+
+
+def test_language_id_learns_from_every_row(spark, docs):
+    """A language that only the last rows by hash have; and the table equals plain counts, whatever the partitions."""
+    rng = np.random.default_rng(4)
+    some = lambda words: " ".join(rng.choice(words.split(), 12))
+    words = {"aa": "kala vesi talo puu metsä järvi", "bb": "chleb woda dom drzewo las jezioro", "cc": "ryba zug haus mond stern sonne"}
+    ids = [r.id for r in spark.range(6000).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    rows = [(i, some(words[x]), x) for n, i in enumerate(ids) for x in ["cc" if n >= 5950 else "ab"[n % 2] * 2]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(frame, F.lit(True))
+    assert model.langs == ["aa", "bb", "cc"] and model.predict([*words.values()])[0].tolist() == ["aa", "bb", "cc"]
+
+    model, got = langid.train(docs, F.lit(True)), langid.train(docs.repartition(7, "text"), F.lit(True))
+    assert (model.table == got.table).all() and (model.temperature, model.threshold) == (got.temperature, got.threshold)
+    sums = {x: np.zeros(langid.BUCKETS) for x in model.langs}
+    for r in docs.collect():
+        bag = np.concatenate([*langid.grams(np.frombuffer(r.text.encode(), np.uint8))])
+        sums[r.lang] += np.bincount(bag, minlength=langid.BUCKETS) / len(bag)
+    share = np.stack([v / v.sum() for v in sums.values()], 1) + langid.SMALL
+    assert np.allclose(model.table[:, :-1], np.log(share / share.mean(1, keepdims=True)), atol=1e-4)
