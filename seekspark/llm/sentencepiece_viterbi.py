@@ -7,7 +7,8 @@ one segmentation of allowed neighbours, the one that merging gives. Its ids are
 on all texts at hand. Characters without a piece fall back to the pieces of their bytes. White space is escaped and a leading space added,
 as the model says. No piece of the file joins a word to the next one's leading space, which is checked on loading, so words are segmented
 on their own; distinct words of equal length advance together: for each end position the hashes of all substrings that end there probe
-the sorted piece keys, and one vectorised maximum stores the back pointers.
+a bit map of the piece keys, those it lets through the sorted keys, and one vectorised maximum stores the back pointers. Whether two
+pieces may be neighbours is worked out once and held in a table of fixed size, where a pair may take another's place.
 
 Defined results: null and empty texts have no ids. Decoding gives the text back exactly, but for U+2581, which the format itself reads as a
 space. Decoding unknown ids raises IndexError. Texts and words of any length work in memory linear in them. Repeated rows get equal results;
@@ -35,6 +36,7 @@ UNIGRAM, BPE = 1, 2
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN_PENALTY, CACHE, CACHED_LENGTH, GROUP = 10.0, 300_000, 256, 1 << 16
+MAP_BITS, PAIR_BITS = 20, 20
 _held: dict[str, Pieces] = {}
 
 
@@ -139,6 +141,10 @@ class Pieces:
             keys[at] = substring_hash(self.prefixes(self.points([words[i] for i in at])), self.powers, 0, n)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], usable[order]
+        self.map = np.zeros(1 << MAP_BITS, bool)
+        self.map[keys >> np.uint64(64 - MAP_BITS)] = True
+        self.pairs, self.pair_allowed = np.full(1 << PAIR_BITS, -1), np.zeros(1 << PAIR_BITS, bool)
+        self.sizes = np.array([len(p) for p in self.pieces])
         assert len(np.unique(self.keys)) == len(self.keys), "piece hashes collide"
         self.merges = Merges(self) if self.bpe else None
         self.key_scores = self.scores[self.ids] if not self.bpe else np.where(self.merges.formed[self.ids], 0.0, -np.inf)
@@ -178,71 +184,89 @@ class Pieces:
 
     @staticmethod
     def prefixes(points: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+        out = np.zeros((points.shape[1] + 1, len(points)), np.uint64)
         for j in range(points.shape[1]):
-            out[:, j + 1] = out[:, j] * PRIME + (points[:, j] + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
-        return out
+            out[j + 1] = out[j] * PRIME + (points[:, j] + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+        return out.T  # so that columns are contiguous
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes, by their place in flat order, are piece keys, and which key each is."""
+        flat = hashes.ravel()
+        maybe = np.flatnonzero(self.map[flat >> np.uint64(64 - MAP_BITS)])
+        at = np.minimum(np.searchsorted(self.keys, flat[maybe]), len(self.keys) - 1)
+        hit = self.keys[at] == flat[maybe] if len(self.keys) else np.zeros(0, bool)
+        return maybe[hit], at[hit]
 
     def found(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -1)
-
-    def allowed(self, before: np.ndarray, after: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """Which of the hits may follow the piece before it; anything may follow a word's start or a character without a piece."""
-        ask = hit & (before >= 0)
-        pairs, back = np.unique(before[ask] * len(self.pieces) + after[ask], return_inverse=True)
-        out = hit.copy()
-        out[ask] = self.merges.apart(pairs // len(self.pieces), pairs % len(self.pieces))[back]
+        out = np.full(len(hashes), -1)
+        where, at = self.places(hashes)
+        out[where] = self.ids[at]
+        return out
+
+    def allowed(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether each piece may follow the one before it; anything may follow a word's start or a character without a piece."""
+        out, ask = np.ones(len(before), bool), np.flatnonzero(before >= 0)
+        pairs = before[ask] * len(self.pieces) + after[ask]
+        slot = ((pairs.astype(np.uint64) * PRIME) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out[ask] = self.pair_allowed[slot]
+        new = np.flatnonzero(self.pairs[slot] != pairs)
+        if len(new):
+            fresh, first, back = np.unique(pairs[new], return_index=True, return_inverse=True)
+            answer = self.merges.apart(fresh // len(self.pieces), fresh % len(self.pieces))
+            out[ask[new]] = answer[back]
+            taken, one = np.unique(slot[new[first]], return_index=True)  # of new pairs that share a slot one is held
+            self.pairs[taken], self.pair_allowed[taken] = fresh[one], answer[one]
         return out
 
     def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of one length, one after another, and how many each has."""
         n, length = len(words), len(words[0])
-        prefix = self.prefixes(self.points(words))
-        best, back, piece = np.zeros((n, length + 1)), np.zeros((n, length + 1), np.int32), np.full((n, length + 1), -1, np.int64)
+        points = self.points(words)
+        prefix, rows = self.prefixes(points), np.arange(n)
+        best, back, piece = np.zeros((length + 1, n)), np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int64)
         for e in range(1, length + 1):
             spans = range(min(e, self.longest), 0, -1)  # the earliest start first: it wins ties
-            hashes = np.stack([substring_hash(prefix, self.powers, e - k, e) for k in spans], 1)
-            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            hit = self.keys[at] == hashes
+            where, at = self.places(np.stack([substring_hash(prefix, self.powers, e - k, e) for k in spans]))
+            span, row = np.divmod(where, n)
+            start = e - len(spans) + span
             if self.merges:
-                hit = self.allowed(piece[:, e - len(spans) : e], self.ids[at], hit & self.merges.formed[self.ids[at]])
-            total = np.where(hit, self.key_scores[at] + best[:, e - len(spans) : e], -np.inf)
-            lone = ~hit[:, -1]
-            total[lone, -1] = best[lone, e - 1] + self.unknown
-            top = total.argmax(1)
-            rows = np.arange(n)
-            best[:, e], back[:, e] = total[rows, top], len(spans) - top
-            piece[:, e] = np.where(hit[rows, top], self.ids[at[rows, top]], -1)
+                ok = self.merges.formed[self.ids[at]]
+                ok[ok] = self.allowed(piece[start[ok], row[ok]], self.ids[at[ok]])
+                at, span, row, start = at[ok], span[ok], row[ok], start[ok]
+            total, taken = np.full((len(spans), n), -np.inf), np.full((len(spans), n), -1, np.int64)
+            total[-1] = best[e - 1] + self.unknown
+            total[span, row], taken[span, row] = self.key_scores[at] + best[start, row], self.ids[at]
+            top = total.argmax(0)
+            best[e], back[e], piece[e] = total[top, rows], len(spans) - top, taken[top, rows]
         # all words walk their back pointers together, last piece first
-        cuts, taken, e, row = [], [], np.full(n, length), np.arange(n)
+        cuts, taken, e, row = [], [], np.full(n, length), rows
         while len(row):
-            taken.append(piece[row, e])
+            taken.append(piece[e, row])
             cuts.append(row)
-            e = e - back[row, e]
+            e = e - back[e, row]
             row, e = row[e > 0], e[e > 0]
         row, got = np.concatenate(cuts[::-1]), np.concatenate(taken[::-1])
         order = np.argsort(row, kind="stable")
         row, got = row[order], got[order]
         if (got < 0).any():
-            row, got = self._fallback(words, row, got)
+            row, got = self._fallback(points, row, got)
         return got.astype(np.int32), np.bincount(row, minlength=n)
 
-    def _fallback(self, words: list[str], row: np.ndarray, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _fallback(self, points: np.ndarray, row: np.ndarray, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put byte pieces, or the unknown piece, in place of characters without a piece."""
-        bad = np.isin(row, row[got < 0])
-        rows, ids = [row[~bad]], [got[~bad]]
-        last, stop = -1, 0
-        for r, g in zip(row[bad].tolist(), got[bad].tolist()):
-            stop = (0 if r != last else stop) + (len(self.pieces[g]) if g >= 0 else 1)
-            last = r
-            new = [g] if g >= 0 else [self.bytes[b] for b in words[r][stop - 1 : stop].encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown_id]
-            rows.append(np.full(len(new), r))
-            ids.append(np.array(new))
-        row, got = np.concatenate(rows), np.concatenate(ids)
-        order = np.argsort(row, kind="stable")
-        return row[order], got[order]
+        bad = got < 0
+        last = (np.cumsum(np.where(bad, 1, self.sizes[got])) - 1) % points.shape[1]  # each piece's last character in its word
+        codes, which = np.unique(points[row[bad], last[bad]], return_inverse=True)
+        new = [[self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown_id] for c in codes.tolist()]
+        sizes = np.array([len(x) for x in new])
+        begins, flat = np.cumsum(sizes) - sizes, np.concatenate(new)
+        count = np.ones(len(got), np.int64)
+        count[bad] = sizes[which]
+        out = np.repeat(got, count)
+        inside = np.arange(sizes[which].sum()) - np.repeat(np.cumsum(sizes[which]) - sizes[which], sizes[which])
+        out[np.repeat(bad, count)] = flat[np.repeat(begins[which], sizes[which]) + inside]
+        return np.repeat(row, count), out
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each text. Words seen are held with their ids, up to CACHE of them."""

@@ -352,3 +352,18 @@ def test_language_id_learns_from_every_row(spark, docs):
         sums[r.lang] += np.bincount(bag, minlength=langid.BUCKETS) / len(bag)
     share = np.stack([v / v.sum() for v in sums.values()], 1) + langid.SMALL
     assert np.allclose(model.table[:, :-1], np.log(share / share.mean(1, keepdims=True)), atol=1e-4)
+
+
+def test_sentencepiece_asks_each_pair_once(monkeypatch):
+    """Neighbours once worked out are held when the words are not; rare characters in words of many lengths become their bytes."""
+    from seekspark.llm.sentencepiece_viterbi import Merges
+
+    path, asked, apart = public_tokenizers.path("piece_bpe_32k.model"), [], Merges.apart
+    model = Pieces.load(path)
+    texts = ["The licensed software is provided as it is, without warranty of any kind.", "a\nb\u0000c 日本語\U0001f600x", "" * 3]
+    model.cache.clear()
+    first = [x.tolist() for x in model.encode(texts)]
+    assert "".join(model.decode(first)) == "".join(texts)
+    monkeypatch.setattr(Merges, "apart", lambda *args: asked.append(len(args[1])) or apart(*args))
+    model.cache.clear()
+    assert [x.tolist() for x in model.encode(texts)] == first and sum(asked) == 0
