@@ -136,10 +136,11 @@ def fit(langs: list[str], counts: np.ndarray) -> LanguageModel:
 
 
 def summed(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], size: int) -> np.ndarray:
-    """The sums of n by k, of the rows of k and n that run makes, for each k below size."""
-    got = rows.mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    """The sums of n by k, of the rows of k and n that run makes, for each k below size. They come as Arrow columns: toPandas would make an
+    object of every row first, unless a session setting is on."""
+    got = rows.mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
-    out[got["k"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    out[got["k"].to_numpy()] = got["n"].to_numpy()
     return out
 
 

@@ -1,9 +1,11 @@
 """The training-data operators on small fixtures, against brute force, and with awkward rows."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -333,6 +335,26 @@ def test_ann(spark):
     assert ann.neighbours(all_.limit(0), all_).count() == 0
 
 
+def test_language_id_sums_reach_the_driver_as_columns(spark):
+    """No Python object for each sum: the driver's Python takes a few bytes a sum, not hundreds."""
+    size = 200_000
+
+    def run(batches):
+        for b in batches:
+            k = b["id"].to_numpy()
+            yield pd.DataFrame({"k": k % size, "n": k << 20})
+
+    rows = spark.range(3 * size // 2, numPartitions=3)
+    tracemalloc.start()
+    got = langid.summed(rows, run, size)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    k = np.arange(size)
+    assert got.tolist() == (((k + np.where(k < size // 2, k + size, 0)) << 20).tolist())
+    assert most < 64 * size
+    assert langid.summed(rows.limit(0), run, 3).tolist() == [0, 0, 0]
+
+
 def test_language_id_learns_from_every_row(spark, docs):
     """A language that only the last rows by hash have; and the table equals plain counts, whatever the partitions."""
     rng = np.random.default_rng(4)
