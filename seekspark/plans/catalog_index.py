@@ -17,6 +17,7 @@ from seekspark.operators import incremental as I
 from seekspark.operators import manifest as K
 from seekspark.operators import metrics as M
 from seekspark.operators import navigation as N
+from seekspark.operators import pairs as P
 from seekspark.operators import postings as X
 from seekspark.operators import ranking as R
 from seekspark.plans import catalog
@@ -170,15 +171,8 @@ _RECALL = "r AS (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY
 def recall_mean(spark, d):
     """Every vector whose id is divisible by 50 as a query against all, by its first 32 dimensions."""
     v = t(spark, d, "embeddings").select("vec_id", "embedding")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    short = lambda c: V.truncated(c, 32)
-    both = v.join(q, F.lit(True)).select("query_id", "vec_id", V.dot(F.col("embedding"), F.col("e")).alias("f"), V.dot(short(F.col("embedding")), short(F.col("e"))).alias("c"))
-
-    def best(score: str, name: str) -> DataFrame:  # each task keeps ten a query before anything is shuffled
-        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), "vec_id"))
-        return both.withColumn("place", place).where("place <= 10").groupBy("query_id").agg(F.collect_list("vec_id").alias(name))
-
-    lists = best("f", "want").join(best("c", "got"), "query_id")
+    found = P.nearest(v.where("vec_id % 50 = 0"), v, "vec_id", 10, 32)
+    lists = found.groupBy("query_id").agg(F.collect_list(F.when(F.col("full"), F.col("vec_id"))).alias("want"), F.collect_list(F.when(~F.col("full"), F.col("vec_id"))).alias("got"))
     return rounded(R.mean_recall(R.recall(lists, "want", "got")), "recall")
 
 
