@@ -30,7 +30,10 @@ def plain_tokens(c: Column) -> Column:
 
 def code_tokens(c: Column) -> Column:
     """Each alphanumeric run followed by its identifier parts, in lower case."""
-    return F.transform(F.flatten(F.transform(words(c), lambda t: F.concat(F.array(t), split_identifier(t)))), lambda t: F.lower(t))
+    # the whole text is cut at once: words are parted by blanks, parts by underscores, of which no word has one of its own
+    runs = F.filter(F.split(_cut(F.regexp_replace(F.coalesce(c, F.lit("")), OTHER, " ")), " "), lambda x: x != "")
+    parted = lambda x: F.concat(F.array(F.lower(F.replace(x, F.lit("_"), F.lit("")))), F.split(F.lower(x), "_"))
+    return F.flatten(F.transform(runs, lambda x: F.when(F.contains(x, F.lit("_")), parted(x)).otherwise(F.array(F.lower(x)))))
 
 
 def preview(c: Column, limit: int = 200) -> Column:

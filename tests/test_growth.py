@@ -5,7 +5,10 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from seekspark.functions import text as T
 from seekspark.operators import pairs as P
+from seekspark.operators import postings as X
+from seekspark.plans import catalog, catalog_index  # noqa: F401
 
 
 def summed(a, b):
@@ -52,3 +55,54 @@ def test_vectors_meet_without_a_shuffle(spark):
     blocks = P.packed(df, "vec_id", "embedding", 9)
     plan = P._met(blocks, blocks, "b_a <= b_c")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and blocks.agg(F.max(F.octet_length("ids"))).first()[0] == 9 * 8
+
+
+def test_index_of_many_segments(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    bodies = [" ".join(rng.choice(["the", "sea", "boat", "readRow", "x1"], rng.integers(0, 12))) for _ in range(40)]
+    bodies[3], bodies[4] = None, "  ... "
+    rows = [(i if i != 9 else 8, "the" if i % 5 == 0 else "sea boat", x) for i, x in enumerate(bodies)]  # an id twice
+    docs = spark.createDataFrame(rows, "id long, name string, body string").repartition(3)
+    weights = {"name": 9.0, "body": 1.0}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        index = X.build(docs, "id", {"name": "name", "body": "body"}, weights, str(tmp_path / "ix"), T.plain_tokens)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    the = index.table("postings").where("term = 'the' AND field = 'body'")
+    assert the.count() > 5 and the.agg(F.max("n")).first()[0] <= 4  # no task and no row holds all documents of a term
+
+    toks = [{"name": n.lower().split(), "body": [w for w in (b or "").lower().split() if w[0] != "."]} for _, n, b in rows]
+
+    def brute(phrases):
+        out = {}
+        for (i, _, _), t in zip(rows, toks):
+            for f, w in weights.items():
+                avg = sum(len(x[f]) for x in toks) / len(toks)
+                for phrase in phrases:
+                    tf = sum(t[f][k : k + len(phrase)] == phrase for k in range(len(t[f])))
+                    idf = sum(math.log(1 + (len(toks) - n + 0.5) / (n + 0.5)) for n in (sum(p in x[f] for x in toks) for p in phrase))
+                    out[i] = out.get(i, 0) + w * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t[f]) / avg))
+        return {i: round(s, 9) for i, s in out.items() if s > 0}
+
+    for phrases in ([["the"]], [["the"], ["sea", "boat"]], [["readrow"], ["the", "the", "sea"]], [["absent"]]):
+        found = X.search(index, [X.Clause(tuple(p)) for p in phrases]).collect()
+        assert {r.id: round(r.score, 9) for r in found} == brute(phrases)
+    # where nothing parses, each document counts: as many rows as SQL has
+    assert sorted(r.id for r in X.search(index, '"open').collect()) == sorted(i for i, _, _ in rows)
+
+
+def test_index_is_built_by_the_first_search_that_reads_it(spark, tmp_path):
+    built = []
+    index = X.Index(spark, str(tmp_path), {"t": 1.0}, T.plain_tokens, lambda: built.append(X.build(spark.createDataFrame([(1, "a sea")], "id long, t string"), "id", {"t": "t"}, {"t": 1.0}, str(tmp_path), T.plain_tokens)))
+    assert not built and [r.id for r in X.search(index, "sea").collect()] == [1] and [r.id for r in X.search(index, "a").collect()] == [1] and len(built) == 1
+    catalog._INDEXES.clear()
+    assert catalog.QUERIES["search_semantic"](spark, "/root/testdata/sf0.001").count() and all(x.make for x in catalog._INDEXES.values())
+
+
+def test_code_tokens_are_those_of_each_word(spark):
+    texts = ["readCsvRow ABCd x_y HTML5Parser a1B2 ΟΔΟΣ ÉtéÀla", "_lead trail_ __ AAaBBb", "", None, "ABcDe,XyZ'sT 日本Go"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    each = F.transform(F.flatten(F.transform(T.words(F.col("t")), lambda w: F.concat(F.array(w), T.split_identifier(w)))), lambda w: F.lower(w))
+    for r in rows.select(T.code_tokens(F.col("t")).alias("got"), each.alias("want")).collect():
+        assert r.got == r.want
