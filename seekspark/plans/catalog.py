@@ -75,11 +75,12 @@ _INDEXES: dict = {}
 
 
 def indexed(spark, d: str, name: str, fields: dict, weights: dict, tokens=T.plain_tokens, docs: DataFrame | None = None, id_col: str = "doc_id") -> X.Index:
-    """The inverted index of a table, built once for a session and read by every search after that."""
+    """The inverted index of a table, built once for a session by the first search that reads it."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _INDEXES:
         path = f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}"
-        _INDEXES[key] = X.build(docs_with_path(spark, d) if docs is None else docs, id_col, fields, weights, path, tokens)
+        rows = docs_with_path(spark, d) if docs is None else docs
+        _INDEXES[key] = X.Index(spark, path, weights, tokens, lambda: X.build(rows, id_col, fields, weights, path, tokens))
     return _INDEXES[key]
 
 
