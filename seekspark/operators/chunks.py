@@ -16,10 +16,15 @@ MAX_BYTES, SIZE, OVERLAP = 4096, 2048, 512
 
 
 def whole_files(docs: DataFrame, path: str = "path", text: str = "text", limit: int = MAX_BYTES) -> DataFrame:
-    """One chunk for each text that is not blank and within the limit."""
-    ok = docs.where((F.trim(F.regexp_replace(text, r"\s", " ")) != "") & (F.octet_length(text) <= limit))
-    body = F.regexp_replace(text, "\n$", "")
-    return ok.select(path, F.regexp_extract(path, "[^/]*$", 0).alias("name"), F.lit("file").alias("kind"), F.lit(1).alias("start_line"), (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("int").alias("end_line"), F.col(text).alias("content"))
+    """One chunk for each text that is not blank and within the limit. A column `hash` is kept."""
+    ok = docs.where((F.octet_length(text) <= limit) & F.col(text).rlike(r"\S"))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    end = breaks + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1)
+    return ok.select(path, F.regexp_extract(path, "[^/]*$", 0).alias("name"), F.lit("file").alias("kind"), F.lit(1).alias("start_line"), end.cast("int").alias("end_line"), F.col(text).alias("content"), *_hash(docs))
+
+
+def _hash(files: DataFrame) -> list[str]:
+    return ["hash"] if "hash" in files.columns else []
 
 
 def windows(docs: DataFrame, path: str = "path", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -167,15 +172,16 @@ def chunked(path: str, text: str | None, text_mode: bool = False, limit: int = M
 
 
 def dispatch(files: DataFrame, path: str = "path", text: str = "text", text_mode: bool = False, limit: int = MAX_BYTES) -> DataFrame:
-    """(path, name, kind, start_line, end_line, content, enriched) of all files. Null and blank texts have no chunk."""
+    """(path, name, kind, start_line, end_line, content, enriched) of all files. Null and blank texts have no chunk. A column `hash` is kept."""
+    kept = _hash(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in CHUNK.split(", ")]
+        names = [x.split()[0] for x in CHUNK.split(", ")] + kept
         for b in batches:
-            rows = [c for p, t in zip(b[path], b[text]) if p is not None for c in chunked(p, t, text_mode, limit)]
+            rows = [(*c, *k) for p, t, *k in zip(b[path], b[text], *(b[x] for x in kept)) if p is not None for c in chunked(p, t, text_mode, limit)]
             yield pd.DataFrame(rows, columns=names).astype({"start_line": "int32", "end_line": "int32"})
 
-    return files.select(path, text).mapInPandas(run, CHUNK)
+    return files.select(path, text, *kept).mapInPandas(run, CHUNK + "".join(f", {x} string" for x in kept))
 
 
 # --- extractors: path and text to definitions (name, kind, start_line, end_line, scope, signature), imports and calls ---

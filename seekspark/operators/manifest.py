@@ -3,6 +3,9 @@
 An index is a folder of Parquet tables: `objects` (hash, prefix, path, name, kind, start_line, end_line, content) holds the chunks of each
 content once, partitioned by the first two digits of its hash; `manifest` (path, mtime, size, hash, chunks) names the content of each
 path; `about` holds version and model. Objects are only added or removed whole, so a run rewrites the manifest and touches no unchanged object.
+
+Runs work on keys (path, mtime, size, hash), which are kept without the texts. Contents are never sorted to be joined or grouped: files that
+are wanted or not are told by a list of keys, broadcast while it is short, and what is left goes once to its prefix.
 """
 
 from __future__ import annotations
@@ -14,8 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekspark.operators import incremental as I
+from seekspark.plans.scratch import saved
 
 VERSION = 3
+#: Rows of a list of keys that is still broadcast.
+SHORT = 100_000
 
 
 def snapshot(files: DataFrame) -> DataFrame:
@@ -27,7 +33,8 @@ def _write(df: DataFrame, path: str, *partitions: str) -> None:
     """Write beside and swap, since df may read what it replaces."""
     spark = df.sparkSession
     beside = f"{path}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partitions).parquet(beside) if partitions else df.write.parquet(beside)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*partitions) if partitions else writer).parquet(beside)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(fs_path(path), True)
@@ -40,20 +47,32 @@ def manifest_of(snap: DataFrame, objects: DataFrame) -> DataFrame:
     return snap.select("path", "mtime", "size", "hash").join(n, "hash", "left").select("path", "mtime", "size", "hash", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
-def _objects(snap: DataFrame, chunk: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Chunks of each content, from the first path that holds it."""
-    once = snap.groupBy("hash").agg(F.min(F.struct("path", "text")).alias("x")).select("hash", F.col("x.path").alias("path"), F.col("x.text").alias("text"))
-    chunks = chunk(once.select("path", "text")).select("path", "name", "kind", "start_line", "end_line", "content")
-    return chunks.join(once.select("path", "hash"), "path").withColumn("prefix", F.substring("hash", 1, 2))
+def _by(rows: DataFrame, keys: DataFrame, how: str, *on: str) -> DataFrame:
+    """rows that keys (kept, distinct) name, or do not name, without a sort of rows."""
+    return rows.join(keys.hint("broadcast" if keys.count() <= SHORT else "shuffle_hash"), list(on), how)
+
+
+def _objects(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFrame:
+    """Chunks of files (path, hash, text), whose keys are kept."""
+    chunks = chunk(files)
+    if "hash" not in chunks.columns:
+        chunks = chunks.join(keys.select("path", "hash").distinct().hint("shuffle_hash"), "path")
+    chunks = chunks.select("path", "name", "kind", "start_line", "end_line", "content", "hash")
+    once = keys.groupBy("path", "hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (chunks if once else chunks.dropDuplicates()).withColumn("prefix", F.substring("hash", 1, 2))
 
 
 def full(files: DataFrame, path: str, chunk: Callable[[DataFrame], DataFrame], model: str = "none") -> DataFrame:
     """Index everything anew; returns the statistics."""
     spark, snap = files.sparkSession, snapshot(files)
-    _write(_objects(snap, chunk), f"{path}/objects", "prefix")
-    _write(manifest_of(snap, spark.read.parquet(f"{path}/objects")), f"{path}/manifest")
+    keys = saved(snap.drop("text"), "keys")
+    first = keys.groupBy("hash").agg(F.min("path").alias("first"))
+    copies = saved(keys.join(first, "hash").where("path <> first").select("path", "hash").distinct(), "copies")  # a content's objects are those of the first path that holds it
+    objects = _by(_objects(snap.select("path", "hash", "text"), chunk, keys), copies, "left_anti", "path", "hash")
+    _write(objects.repartition("prefix"), f"{path}/objects", "prefix")
+    _write(manifest_of(keys, spark.read.parquet(f"{path}/objects")), f"{path}/manifest")
     _write(spark.createDataFrame([(VERSION, model)], "version int, model string"), f"{path}/about")
-    return snap.agg(F.count("*").alias("new"), F.lit(0).cast("long").alias("modified"), F.lit(0).cast("long").alias("deleted"), F.lit(0).cast("long").alias("unchanged"))
+    return keys.agg(F.count("*").alias("new"), F.lit(0).cast("long").alias("modified"), F.lit(0).cast("long").alias("deleted"), F.lit(0).cast("long").alias("unchanged"))
 
 
 def compatible(spark: SparkSession, path: str, model: str = "none") -> bool:
@@ -71,14 +90,18 @@ def reindex(files: DataFrame, path: str, chunk: Callable[[DataFrame], DataFrame]
     if not compatible(spark, path, model):
         return full(files, path, chunk, model)
     snap, old = snapshot(files), spark.read.parquet(f"{path}/manifest")
-    changes = I.diff(old, snap)
+    keys = saved(snap.drop("text"), "keys")
+    changes = saved(I.diff(old, keys), "changes")
     stats = spark.createDataFrame([I.stats(changes).first()], "new long, modified long, deleted long, unchanged long")  # one row, before the manifest changes
     have = spark.read.parquet(f"{path}/objects").select("hash").distinct()
-    dirty = snap.join(changes.where("status IN ('new', 'modified')").select("path"), "path", "left_semi").join(have, "hash", "left_anti")
-    _objects(dirty, chunk).write.mode("append").partitionBy("prefix").parquet(f"{path}/objects")
-    spark.catalog.refreshByPath(f"{path}/objects")
-    kept = I.healed(old.join(changes.where("status = 'unchanged'").select("path"), "path", "left_semi"), snap)  # touched files get their new time
-    fresh = manifest_of(snap.join(changes.where("status IN ('new', 'modified')").select("path"), "path", "left_semi"), spark.read.parquet(f"{path}/objects"))
+    moved = keys.join(changes.where("status IN ('new', 'modified')").select("path"), "path", "left_semi")
+    dirty = saved(moved.join(have, "hash", "left_anti").groupBy("hash").agg(F.min("path").alias("path")).where("hash IS NOT NULL"), "dirty")
+    if not dirty.isEmpty():
+        fresh = _objects(_by(snap.select("path", "hash", "text"), dirty, "left_semi", "path", "hash"), chunk, moved)
+        fresh.repartition("prefix").write.mode("append").option("compression", "zstd").partitionBy("prefix").parquet(f"{path}/objects")
+        spark.catalog.refreshByPath(f"{path}/objects")
+    kept = I.healed(old.join(changes.where("status = 'unchanged'").select("path"), "path", "left_semi"), keys)  # touched files get their new time
+    fresh = manifest_of(moved, spark.read.parquet(f"{path}/objects"))
     _write(kept.select("path", "mtime", "size", "hash", "chunks").unionByName(fresh), f"{path}/manifest")
     collect_garbage(spark, path)
     return stats
@@ -87,14 +110,14 @@ def reindex(files: DataFrame, path: str, chunk: Callable[[DataFrame], DataFrame]
 def collect_garbage(spark: SparkSession, path: str) -> int:
     """Delete objects that no manifest row names, rewriting only the prefixes that hold some; how many contents went."""
     objects, manifest = spark.read.parquet(f"{path}/objects"), spark.read.parquet(f"{path}/manifest")
-    gone = I.unreferenced(objects.select("hash", "prefix").distinct(), manifest)
+    gone = saved(I.unreferenced(objects.select("hash", "prefix").distinct(), manifest), "gone")
     prefixes = [r.prefix for r in gone.select("prefix").distinct().collect()]  # at most 256
     if not prefixes:
         return 0
     n = gone.count()
-    kept = objects.where(F.col("prefix").isin(*prefixes)).join(manifest.select("hash").distinct(), "hash", "left_semi")
+    kept = _by(objects.where(F.col("prefix").isin(*prefixes)), gone.select("hash"), "left_anti", "hash")
     beside = f"{path}/kept-{uuid.uuid4().hex}"
-    kept.write.partitionBy("prefix").parquet(beside)
+    kept.repartition("prefix").write.option("compression", "zstd").partitionBy("prefix").parquet(beside)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for p in prefixes:

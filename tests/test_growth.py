@@ -1,11 +1,15 @@
 """Steps whose cost must not grow faster than their input: results against brute force at sizes that need many blocks or segments."""
 
+import hashlib
 import math
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from seekspark.functions import text as T
+from seekspark.operators import chunks as C
+from seekspark.operators import manifest as K
 from seekspark.operators import pairs as P
 from seekspark.operators import postings as X
 from seekspark.plans import catalog, catalog_index  # noqa: F401
@@ -106,3 +110,32 @@ def test_code_tokens_are_those_of_each_word(spark):
     each = F.transform(F.flatten(F.transform(T.words(F.col("t")), lambda w: F.concat(F.array(w), T.split_identifier(w)))), lambda w: F.lower(w))
     for r in rows.select(T.code_tokens(F.col("t")).alias("got"), each.alias("want")).collect():
         assert r.got == r.want
+
+
+def test_index_life_with_long_lists_of_keys(spark, tmp_path, monkeypatch):
+    """Copies, blank and null texts and a path with two texts: the same index whether lists of keys are broadcast or not, and one file a prefix."""
+    texts = [f"text {i % 23}\n" if i % 7 else (None if i % 2 else " \n") for i in range(120)]
+    old = [(f"d/{i}.txt", 1, x) for i, x in enumerate(texts)]
+    new = [(p, 2 if i % 3 == 0 else t, f"{x}!" if i % 6 == 0 else x) for i, (p, t, x) in enumerate(old) if i % 10] + [("d/new.txt", 2, "text 5\n")]
+    frame = lambda rows: spark.createDataFrame(rows, "path string, mtime long, text string")
+    digest = lambda x: None if x is None else hashlib.sha256(x.encode()).hexdigest()
+    for short in (0, K.SHORT):
+        monkeypatch.setattr(K, "SHORT", short)
+        for chunk in (C.dispatch, C.whole_files):
+            path = f"{tmp_path}/{chunk.__name__}-{short}"
+            K.full(frame(old), path, chunk)
+            assert all(len(list(p.glob("*.parquet"))) == 1 for p in Path(path, "objects").glob("prefix=*"))
+            K.reindex(frame(new), path, chunk)
+            assert sorted((r.path, r.content) for r in K.load(spark, path).collect()) == sorted((p, x) for p, _, x in new if x and x.strip())
+            assert sorted(r.hash for r in K.hashes(spark, path).collect()) == sorted({digest(x) for _, _, x in new if x and x.strip()})
+            objects = spark.read.parquet(f"{path}/objects")
+            assert objects.count() == objects.select("hash").distinct().count()
+            got = sorted((tuple(r) for r in spark.read.parquet(f"{path}/manifest").select("path", "hash", "chunks").collect()), key=str)
+            assert got == sorted(((p, digest(x), int(bool(x and x.strip()))) for p, _, x in new), key=str)
+        K.full(frame([("a.txt", 1, "one"), ("a.txt", 1, "two"), ("b.txt", 1, "one"), ("b.txt", 1, "one")]), f"{tmp_path}/twice-{short}", C.dispatch)
+        assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/twice-{short}/objects").select("path", "content").collect()) == [("a.txt", "one"), ("a.txt", "two")]
+
+
+def test_last_lines_of_whole_files(spark):
+    rows = spark.createDataFrame([("a", "x\n\n"), ("b", "x\n"), ("c", "x"), ("d", "\n\nx"), ("e", "\t\n "), ("f", "x\r\n\n")], "path string, text string")
+    assert {r.path: r.end_line for r in C.whole_files(rows).collect()} == {"a": 2, "b": 1, "c": 1, "d": 3, "f": 2}  # as the SQL counts
