@@ -1,6 +1,6 @@
 """Every vector against every other, by blocks of rows in numpy: similar pairs, and the nearest of many queries.
 
-Vectors are packed into rows of at most BLOCK each, where they lie; a nested loop then meets each block with each, without a shuffle. A task
+Vectors are packed into rows of at most BLOCK each, dealt out once; a nested loop then meets each block with each, without a shuffle. A task
 holds two blocks and a strip of their products. Products by BLAS only choose candidates: what is compared and returned are sums in the order
 of dimensions, as SQL takes them, so that equal vectors tie. The work is that of all pairs; memory, shuffle and the driver's share are not.
 """
@@ -52,7 +52,9 @@ def packed(vectors: DataFrame, id_col: str, column: str, block: int = BLOCK) ->
             if sum(len(x) for x, _ in held[dim]):
                 yield row(dim, block)
 
-    return saved(rows.mapInArrow(run, "b long, dim int, ids binary, v binary").withColumn("kind", F.lit(kind)), "packed")
+    blocks = rows.mapInArrow(run, "b long, dim int, ids binary, v binary").withColumn("kind", F.lit(kind))
+    # dealt out evenly, once: a single file of few row groups would be met by a single task
+    return saved(blocks.repartition(max(1, vectors.sparkSession.sparkContext.defaultParallelism)), "packed")
 
 
 def _met(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:

@@ -56,7 +56,8 @@ def test_nearest_of_many_blocks(spark):
 
 def test_vectors_meet_without_a_shuffle(spark):
     _, df = vectors(spark)
-    blocks = P.packed(df, "vec_id", "embedding", 9)
+    blocks = P.packed(df.coalesce(1), "vec_id", "embedding", 9)
+    assert blocks.rdd.getNumPartitions() > 1  # blocks of one file are met by many tasks
     plan = P._met(blocks, blocks, "b_a <= b_c")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and blocks.agg(F.max(F.octet_length("ids"))).first()[0] == 9 * 8
 
